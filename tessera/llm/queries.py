@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, ngram_join, packing, secrets, toxicity
+from . import bpe, exact_dedup, licenses, ngram_join, packing, secrets, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.report(_table(spark, sf_dir, "documents"))
 
@@ -48,11 +56,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe_trie": op3_bpe_trie,
     "op4_toxicity": op4_toxicity,
+    "op5_threshold_topk": op5_threshold_topk,
+    "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_threshold_topk": r"""
+        with v as (
+            select vec_id, list_transform(embedding, x -> cast(floor(cast(x as double) * 1024) as bigint)) e
+            from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (
+            select q.vec_id query_id, c.vec_id vec_id,
+                   cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) score
+            from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+            where q.vec_id % 100 = 0),
+        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 10""",
     "op2_exact_dedup": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) n,
