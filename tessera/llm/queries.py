@@ -65,12 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_threshold_topk": r"""
         with v as (
-            select vec_id, list_transform(embedding, x -> cast(floor(cast(x as double) * 1024) as bigint)) e
+            select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) e
             from embeddings
-            where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
         s as (
             select q.vec_id query_id, c.vec_id vec_id,
-                   cast(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) as bigint) score
+                   cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) score
             from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
             where q.vec_id % 100 = 0),
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) rank from s)
