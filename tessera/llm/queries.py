@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_crf, licenses, ngram_join, packing, secrets, topk, toxicity
+from . import bpe, exact_dedup, html_crf, licenses, ngram_join, packing, secrets, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.report(_table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_threshold_topk": op5_threshold_topk,
     "op6_html_crf": op6_html_crf,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_best_fit_packing": op10_best_fit_packing,
