@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import panel_queries  # noqa: F401
+
+
+load()
