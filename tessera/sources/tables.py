@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` below ``sf_dir`` (a file or a folder of Parquet parts)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the folder that executors share and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/tessera-{os.getpid()}"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
