@@ -143,6 +143,21 @@ def extract_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_block(text: pd.Series) -> pd.Series:
-    return text.map(extract_json)
+def json_block(text: Column) -> Column:
+    """The first JSON object of a text column, as text."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(extract_json)
+
+    return run(text)
+
+
+def packed_chunks(tokens: Column, window: int = 4096, overlap: int = 128, least: int = 256) -> Column:
+    """Token windows of a column of paragraphs' tokens (array of arrays)."""
+
+    @F.pandas_udf("array<array<int>>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda paragraphs: token_chunks([[int(t) for t in p] for p in paragraphs], window, overlap, least))
+
+    return run(tokens)

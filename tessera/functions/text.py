@@ -5,7 +5,7 @@ Patterns avoid classes that differ between regex engines, so results can be chec
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,13 +49,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
-def word_shingles(text: Column, k: int = 9) -> Column:
-    """Distinct runs of ``k`` words, joined by spaces; texts with fewer words have none."""
-    w = words(text)
-    n = F.size(w) - k + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
-
-
 # Words dropped from queries.
 STOPWORDS = tuple("a an the of and or in on for to with by from as at is are was were be been being that this these those it its their our your his her they we you i".split())
 
@@ -132,14 +125,17 @@ def sections(text: Column, patterns: dict[str, str], prefer_caps: bool = False)
     return F.transform(starts, lambda s, i: F.struct(s["start"].alias("start"), s["name"].alias("name"), F.coalesce(F.get(starts, i + 1)["start"], F.char_length(text)).alias("end")))
 
 
-def narrative(raw: Column, form: str = "10-K", least: int = 500) -> Column:
-    """Array of (name, text) of a filing's kept sections, or one named full where no header is found; short ones go."""
-    text = strip_html(raw)
-    found = sections(text, SECTION_PATTERNS.get(form, SECTION_PATTERNS["10-K"]), form in PREFER_CAPS)
-    found = F.filter(found, lambda s: s["name"].isin(*KEPT))
-    cut = F.transform(found, lambda s: F.struct(s["name"].alias("name"), drop_numeric_lines(F.substring(text, s["start"] + 1, s["end"] - s["start"])).alias("text")))
-    whole = F.array(F.struct(F.lit("full").alias("name"), drop_numeric_lines(text).alias("text")))
-    return F.filter(F.when(F.size(found) > 0, cut).otherwise(whole), lambda s: F.char_length(s["text"]) >= least)
+def narratives(df: DataFrame, raw: str, form: str = "10-K", least: int = 500, name: str = "section", text: str = "section_text") -> DataFrame:
+    """One row per kept section of each filing, or one named full where no header is found; short ones go.
+
+    The stripped text is a column before the sections are exploded, so it is computed once a filing.
+    """
+    plain = df.withColumn("_plain", strip_html(F.col(raw)))
+    found = F.filter(sections(F.col("_plain"), SECTION_PATTERNS.get(form, SECTION_PATTERNS["10-K"]), form in PREFER_CAPS), lambda s: s["name"].isin(*KEPT))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit("full").alias("name"), F.char_length("_plain").alias("end")))
+    cut = plain.withColumn("_s", F.explode(F.when(F.size(found) > 0, found).otherwise(whole)))
+    body = drop_numeric_lines(F.substring(F.col("_plain"), F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")))
+    return cut.withColumns({name: F.col("_s.name"), text: body}).where(F.char_length(text) >= least).drop("_plain", "_s")
 
 
 def try_date(x: Column) -> Column:

@@ -50,9 +50,9 @@ def bm25_filtered_topk(spark, sf_dir):
     return R.top(s, 12).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("postings", f"with t as (select doc_id, len({TOK}) dl, unnest({TOK}) term from documents where lang = 'de') select doc_id, term, cast(dl as integer) dl, count(*) tf from t group by 1, 2, 3")
+@query("postings", f"with t as (select doc_id, len({TOK}) dl, unnest({TOK}) term from documents) select doc_id, term, cast(dl as integer) dl, count(*) tf from t group by 1, 2, 3")
 def postings(spark, sf_dir):
-    return R.postings(table(spark, sf_dir, "documents").where("lang = 'de'")).select("doc_id", "term", "dl", "tf")
+    return R.postings(table(spark, sf_dir, "documents")).select("doc_id", "term", "dl", "tf")
 
 
 @query("phrase_match_count", r"select doc_id, len(regexp_extract_all(lower(text), 'general[^a-z0-9]+public')) n from documents where regexp_matches(lower(text), 'general[^a-z0-9]+public')")
@@ -69,23 +69,23 @@ def query_terms(spark, sf_dir):
 DOT = "list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: z[1]::double * z[2]::double))"
 
 
-@query("dense_topk", f"with s as (select q.vec_id query_id, c.vec_id, round({DOT}, 9) score from embeddings q cross join embeddings c where q.vec_id < 5 and c.vec_id <> q.vec_id) select query_id, vec_id, round(score, 6) score, cast(rank as integer) rank from ({_top_sql('s', 12, 'vec_id')})")
+@query("dense_topk", f"with s as (select q.vec_id query_id, c.vec_id, round({DOT}, 9) score from embeddings q cross join embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id) select query_id, vec_id, round(score, 6) score, cast(rank as integer) rank from ({_top_sql('s', 12, 'vec_id')})")
 def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _dense(spark, sf_dir, k=12):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     s = v.join(q, v["vec_id"] != q["query_id"]).select("query_id", "vec_id", F.round(R.dot(F.col("embedding"), F.col("q")), 9).alias("score"))
     return R.top(s, k, "vec_id")
 
 
-@query("dense_recall_by_label", f"with s as (select q.vec_id query_id, q.label ql, c.vec_id, c.label cl, round({DOT}, 9) score from embeddings q cross join embeddings c where q.vec_id < 5 and c.vec_id <> q.vec_id), t as ({_top_sql('s', 20, 'vec_id')}), r as (select query_id, min(case when ql = cl then rank end) f from t group by 1) select query_id, cast(coalesce(f <= 5, false) as integer) recall_5, cast(coalesce(f <= 20, false) as integer) recall_20, round(coalesce(1.0 / f, 0), 6) rr from r")
+@query("dense_recall_by_label", f"with s as (select q.vec_id query_id, q.label ql, c.vec_id, c.label cl, round({DOT}, 9) score from embeddings q cross join embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id), t as ({_top_sql('s', 20, 'vec_id')}), r as (select query_id, min(case when ql = cl then rank end) f from t group by 1) select query_id, cast(coalesce(f <= 5, false) as integer) recall_5, cast(coalesce(f <= 20, false) as integer) recall_20, round(coalesce(1.0 / f, 0), 6) rr from r")
 def dense_recall_by_label(spark, sf_dir):
     hits = _dense(spark, sf_dir, 20)
     lab = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    gold = lab.select("vec_id", "label").join(lab.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("label")), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    gold = lab.select("vec_id", "label").join(lab.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label")), "label").where("vec_id <> query_id").select("query_id", "vec_id")
     return R.recall_and_rr(hits, gold, "vec_id").withColumn("rr", F.round("rr", 6))
 
 
@@ -97,7 +97,7 @@ def l2_normalised(spark, sf_dir):
 
 HYBRID = f"""with {_bm25_sql()},
     lex as ({_top_sql('(select query_id, doc_id, round(score, 9) score from bm)', 60)}),
-    ds as (select q.vec_id query_id, c.vec_id doc_id, round({DOT}, 9) score from embeddings q cross join embeddings c where q.vec_id < 3 and c.vec_id <> q.vec_id),
+    ds as (select q.vec_id // 100 query_id, c.vec_id doc_id, round({DOT}, 9) score from embeddings q cross join embeddings c where q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
     den as ({_top_sql('ds', 60)}),
     fused as (select coalesce(l.query_id, d.query_id) query_id, coalesce(l.doc_id, d.doc_id) doc_id, l.rank rb, d.rank rd, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + d.rank), 0) rrf from lex l full outer join den d on l.query_id = d.query_id and l.doc_id = d.doc_id),
     ord as (select *, row_number() over (partition by query_id order by rrf desc, rb nulls last, rd nulls last, doc_id) rank from fused)"""
@@ -107,8 +107,8 @@ def _hybrid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     lex = R.top(R.bm25(docs, _queries(spark)).withColumn("score", F.round("score", 9)), 60)
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = v.join(q, v["vec_id"] != q["query_id"]).select("query_id", F.col("vec_id").alias("doc_id"), F.round(R.dot(F.col("embedding"), F.col("q")), 9).alias("score"))
+    q = v.where("vec_id % 100 = 0").select(F.floor(F.col("vec_id") / 100).alias("query_id"), F.col("vec_id").alias("own"), F.col("embedding").alias("q"))
+    s = v.join(q, v["vec_id"] != q["own"]).select("query_id", F.col("vec_id").alias("doc_id"), F.round(R.dot(F.col("embedding"), F.col("q")), 9).alias("score"))
     return R.ranked(R.fuse(lex, R.top(s, 60)))
 
 
@@ -169,10 +169,10 @@ def thinned_gold(spark, sf_dir):
     return R.thinned(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 300)
 
 
-@query("neighbours_range", "select a.conv_id, a.turn at_turn, b.turn from conversations a join conversations b on a.conv_id = b.conv_id and b.turn between a.turn - 1 and a.turn + 1 where a.turn = 2")
+@query("neighbours_range", "select a.conv_id, a.turn at_turn, b.turn from conversations a join conversations b on a.conv_id = b.conv_id and b.turn between a.turn - 1 and a.turn + 1")
 def neighbours_range(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"))
-    return K.neighbours(c, c.where("ordinal = 2"), 1).select(F.col("doc_id").alias("conv_id"), F.col("at").alias("at_turn"), F.col("ordinal").alias("turn"))
+    return K.neighbours(c, c, 1).select(F.col("doc_id").alias("conv_id"), F.col("at").alias("at_turn"), F.col("ordinal").alias("turn"))
 
 
 # ---- text
@@ -198,11 +198,10 @@ def numeric_lines(spark, sf_dir):
 @query("section_split")
 def section_split(spark, sf_dir):
     """Filings made from documents: a table of contents, then sections with the documents' text."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 600").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     head = "Item 1. Business<br>Item 1A. Risk Factors<br>Item 7. Management's Discussion<br>"
     html = F.concat(F.lit(head + "<p>Item 1. Business</p><p>"), F.col("text"), F.lit("</p><p>Item 1A. Risk Factors</p><p>"), F.col("text"), F.lit("</p>"))
-    one = docs.select("doc_id", F.explode(T.narrative(html)).alias("s"))
-    return one.select("doc_id", "s.name", F.char_length("s.text").alias("n_chars"))
+    return T.narratives(docs.select("doc_id", html.alias("html")), "html").select("doc_id", F.col("section").alias("name"), F.char_length("section_text").alias("n_chars"))
 
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -233,20 +232,20 @@ def make_id(spark, sf_dir):
 
 PERMS = 32
 W9 = f"list_filter(string_split_regex({NORM}, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
-SHINGLES = f"sh as (select doc_id, source, {W9} w from documents where doc_id < 400), sx as (select doc_id, source, list_distinct(list_transform(range(1, len(w) - 7), lambda i: array_to_string(w[i:i+8], ' '))) s from sh)"
+SHINGLES = f"sh as (select doc_id, source, {W9} w from documents), sx as (select doc_id, source, list_distinct(list_transform(range(1, len(w) - 7), lambda i: array_to_string(w[i:i+8], ' '))) s from sh)"
 
 
-@query("word_shingles", f"with {SHINGLES} select doc_id, cast(coalesce(len(s), 0) as integer) n_shingles from sx")
-def word_shingles(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id < 400")
-    return docs.select("doc_id", F.size(T.word_shingles(T.normalise_for_hashing(F.col("text")))).alias("n_shingles"))
+@query("shingle_counts", f"with {SHINGLES} select doc_id, count(distinct x) n_shingles from (select doc_id, unnest(s) x from sx) group by 1")
+def shingle_counts(spark, sf_dir):
+    return D.shingle_rows(table(spark, sf_dir, "documents"), "source").groupBy("doc_id").agg(F.countDistinct("shingle").alias("n_shingles"))
 
 
-SIG = f"{SHINGLES}, hs as (select doc_id, source, i, min(('0x' || substr(md5(i || '|' || x), 1, 15))::bigint) m from (select doc_id, source, unnest(s) x from sx where len(s) > 0) cross join (select unnest(range({PERMS})) i) group by 1, 2, 3), sg as (select doc_id, source, list(m order by i) sig from hs group by 1, 2)"
+M50 = (1 << 50) - 1
+SIG = f"{SHINGLES}, ab as (select doc_id, source, ('0x' || substr(md5(x), 1, 15))::bigint & {M50} a, ('0x' || substr(md5(x), 17, 15))::bigint & {M50} b from (select doc_id, source, unnest(s) x from sx)), hs as (select doc_id, source, i, min((a + i * b) & {M50}) m from ab cross join (select unnest(range({PERMS})) i) group by 1, 2, 3), sg as (select doc_id, source, list(m order by i) sig from hs group by 1, 2)"
 
 
 def _sigs(spark, sf_dir):
-    return D.signatures(table(spark, sf_dir, "documents").where("doc_id < 400"), "source", permutations=PERMS).where("size(sig) > 0")
+    return D.signatures(table(spark, sf_dir, "documents"), "source", permutations=PERMS)
 
 
 @query("minhash_signature", f"with {SIG} select doc_id, array_to_string(sig, ',') sig from sg")
@@ -300,9 +299,10 @@ def chunk_verbatim_check(spark, sf_dir):
 
 @query("expand_passage")
 def expand_passage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) > 2000")
-    hit = F.lit(1000)
-    return docs.select("doc_id", C.expanded(F.col("text"), hit, hit + 100).alias("e")).select("doc_id", "e.start", "e.end")
+    docs = table(spark, sf_dir, "documents")
+    size = F.char_length("text")
+    hit = F.floor(size / 2)
+    return docs.select("doc_id", C.expanded(F.col("text"), hit, F.least(hit + 100, size)).alias("e")).select("doc_id", "e.start", "e.end")
 
 
 # ---- catalog
@@ -346,10 +346,10 @@ def licence_assertion(spark, sf_dir):
     return K.unlicensed(_catalog(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_unlicensed"))
 
 
-@query("catalog_upsert", f"with {CAT}, news as (select doc_id + 500 doc_id, 'new' source, 'xx' lang, 'fetched' status, cast(null as varchar) drop_reason, 1 token_len, date '2022-01-01' doc_date, true license_ok from documents where doc_id < 600) select coalesce(c.doc_id, n.doc_id) doc_id, case when n.doc_id is null then c.source else n.source end source, case when n.doc_id is null then c.status else n.status end status, case when n.doc_id is null then c.drop_reason else n.drop_reason end drop_reason, case when c.doc_id is not null then c.doc_date else n.doc_date end doc_date, case when c.doc_id is not null then c.license_ok else n.license_ok end license_ok from cat c full outer join news n on c.doc_id = n.doc_id")
+@query("catalog_upsert", f"with {CAT}, news as (select doc_id + 500 doc_id, 'new' source, 'xx' lang, 'fetched' status, cast(null as varchar) drop_reason, 1 token_len, date '2022-01-01' doc_date, true license_ok from documents) select coalesce(c.doc_id, n.doc_id) doc_id, case when n.doc_id is null then c.source else n.source end source, case when n.doc_id is null then c.status else n.status end status, case when n.doc_id is null then c.drop_reason else n.drop_reason end drop_reason, case when c.doc_id is not null then c.doc_date else n.doc_date end doc_date, case when c.doc_id is not null then c.license_ok else n.license_ok end license_ok from cat c full outer join news n on c.doc_id = n.doc_id")
 def catalog_upsert(spark, sf_dir):
     c = _catalog(spark, sf_dir)
-    news = table(spark, sf_dir, "documents").where("doc_id < 600").selectExpr("doc_id + 500 as doc_id", "'new' as source", "'xx' as lang", "'fetched' as status", "cast(null as string) as drop_reason", "1L as token_len", "date'2022-01-01' as doc_date", "true as license_ok")
+    news = table(spark, sf_dir, "documents").selectExpr("doc_id + 500 as doc_id", "'new' as source", "'xx' as lang", "'fetched' as status", "cast(null as string) as drop_reason", "1L as token_len", "date'2022-01-01' as doc_date", "true as license_ok")
     return K.upsert(c, news).select("doc_id", "source", "status", "drop_reason", "doc_date", "license_ok")
 
 

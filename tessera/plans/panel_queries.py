@@ -133,9 +133,9 @@ def coverage_report(spark, sf_dir):
     return P.coverage_report(weekly_panel(spark, sf_dir)).select("date", "n_configured", "n_expected", "n_available", "n_missing", F.round("coverage", 6).alias("coverage"))
 
 
-@query("coverage_with_delisted", COVER + ", gone as (select c_custkey, cast(date '1996-01-01' + cast(c_custkey as integer) as date) exit_date from customer where c_custkey < 20) select date, n_expected + (select count(*) from gone where exit_date >= cover.date) n_expected, n_available from cover")
+@query("coverage_with_delisted", COVER + ", gone as (select s_suppkey, cast(date '1996-01-01' + cast(s_suppkey as integer) as date) exit_date from supplier) select date, n_expected + (select count(*) from gone where exit_date >= cover.date) n_expected, n_available from cover")
 def coverage_with_delisted(spark, sf_dir):
-    gone = table(spark, sf_dir, "customer").where("c_custkey < 20").select(F.col("c_custkey").cast("string").alias("name"), F.expr("date_add(date'1996-01-01', cast(c_custkey as int))").alias("exit_date"))
+    gone = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.expr("date_add(date'1996-01-01', cast(s_suppkey as int))").alias("exit_date"))
     return P.coverage_report(weekly_panel(spark, sf_dir), gone).select("date", "n_expected", "n_available")
 
 
@@ -336,5 +336,4 @@ def gate_criteria(spark, sf_dir):
 
 @query("gbdt_predictions")
 def gbdt_predictions(spark, sf_dir):
-    folds = _folds(spark, sf_dir).where("fold_id = 4")
-    return V.walk_forward_predict(_model(spark, sf_dir), folds, ["x1", "x2"], "y", trees=10)
+    return V.walk_forward_predict(_model(spark, sf_dir), _folds(spark, sf_dir), ["x1", "x2"], "y", trees=5)
