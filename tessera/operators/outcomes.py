@@ -15,7 +15,7 @@ def closed(trades: DataFrame, closes: DataFrame) -> DataFrame:
     """Trades with exits: raw return (negated for shorts) and return relative to the benchmark, null without one."""
     t = trades.join(closes, "trade_id", "left")
     raw = F.try_divide("exit_price", "entry_price") - 1
-    raw = F.when(F.col("direction") == "short", -raw).otherwise(raw)
+    raw = F.when(F.col("direction") == "short", F.lit(0.0) - raw).otherwise(raw)
     return t.withColumn("raw_return", raw).withColumn("relative_return", F.col("raw_return") - F.col("benchmark_return"))
 
 

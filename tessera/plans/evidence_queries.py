@@ -185,7 +185,7 @@ def _trades(spark, sf_dir):
     return O.closed(t, x)
 
 
-REL = f"with {TR}, cl as (select trade_id, arm, case when direction = 'short' then -(exit_price / entry_price - 1) else exit_price / entry_price - 1 end raw, bench, still_open from tr)"
+REL = f"with {TR}, cl as (select trade_id, arm, case when direction = 'short' then 0 - (exit_price / entry_price - 1) else exit_price / entry_price - 1 end raw, bench, still_open from tr)"
 
 
 @query("close_trades", REL + " select trade_id, case when still_open then null else round(raw, 6) end raw_return, case when still_open then null else round(raw - bench, 6) end relative_return from cl")
@@ -275,7 +275,7 @@ def reward_risk(spark, sf_dir):
 N_TOK = r"cast(len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) as bigint)"
 
 
-@query("pack_offsets", f"with t as (select doc_id, source, {N_TOK} n_tokens from documents) select doc_id, n_tokens, cast(coalesce(sum(n_tokens) over (order by source, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) token_offset, cast(floor(coalesce(sum(n_tokens) over (order by source, doc_id rows between unbounded preceding and 1 preceding), 0) / 19456) as bigint) shard_id from t")
+@query("pack_offsets", f"with t as (select doc_id, source, {N_TOK} n_tokens from documents) select doc_id, n_tokens, cast(coalesce(sum(n_tokens) over (order by source, doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) token_offset, cast(floor(coalesce(sum(n_tokens) over (order by source, doc_id rows between unbounded preceding and 1 preceding), 0) / 19968) as bigint) shard_id from t")
 def pack_offsets(spark, sf_dir):
     d = N.token_lengths(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_tokens")
     o = N.running_offset(d, ["source", "doc_id"])
