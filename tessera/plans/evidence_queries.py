@@ -188,9 +188,10 @@ def _trades(spark, sf_dir):
 REL = f"with {TR}, cl as (select trade_id, arm, case when direction = 'short' then 0 - (exit_price / entry_price - 1) else exit_price / entry_price - 1 end raw, bench, still_open from tr)"
 
 
-@query("close_trades", REL + " select trade_id, case when still_open then null else round(raw, 6) end raw_return, case when still_open then null else round(raw - bench, 6) end relative_return from cl")
+@query("close_trades", REL + " select trade_id, case when still_open then null else round(raw, 6) + 0.0::double end raw_return, case when still_open then null else round(raw - bench, 6) + 0.0::double end relative_return from cl")
 def close_trades(spark, sf_dir):
-    return _trades(spark, sf_dir).select("trade_id", F.round("raw_return", 6).alias("raw_return"), F.round("relative_return", 6).alias("relative_return"))
+    t = _trades(spark, sf_dir)
+    return t.select("trade_id", (F.round("raw_return", 6) + F.lit(0.0)).alias("raw_return"), (F.round("relative_return", 6) + F.lit(0.0)).alias("relative_return"))  # no negative zero
 
 
 @query("open_trades", REL + " select trade_id, arm from cl where still_open and arm = 'a'")
@@ -346,3 +347,75 @@ def tumbling_activity(spark, sf_dir):
 
     t = tumbling(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 day", "event_type")
     return t.select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# ---- briefing
+
+
+@query("segment_queries", "select segment, cast(len(metrics) + len(watch) + 3 as bigint) n_queries from (values " + ", ".join(f"('{s}', {m!r}, {w!r})" for s, _, m, w in __import__("tessera.operators.briefing", fromlist=["PROFILES"]).PROFILES) + ") v(segment, metrics, watch)")
+def segment_queries(spark, sf_dir):
+    from ..operators import briefing as B
+
+    return B.segment_queries(B.profiles(spark)).groupBy("segment").agg(F.count(F.lit(1)).alias("n_queries"))
+
+
+@query("first_wins_union", "select doc_id, min(q) query_no from (select doc_id, 0 q from documents where contains(text, 'license') union all select doc_id, 1 from documents where contains(text, 'token') union all select doc_id, 2 from documents where lang = 'fr') group by 1")
+def first_wins_union(spark, sf_dir):
+    from ..operators import briefing as B
+
+    d, out = table(spark, sf_dir, "documents"), None
+    for i, cond in enumerate((F.contains("text", F.lit("license")), F.contains("text", F.lit("token")), F.col("lang") == "fr")):
+        one = d.where(cond).select("doc_id", F.lit(i).alias("query_no"))
+        out = one if out is None else out.unionByName(one)
+    return B.first_wins(out, ["doc_id"], "query_no")
+
+
+@query("segment_lookup", "select c_custkey, case c_mktsegment when 'BUILDING' then 'memory' when 'MACHINERY' then 'foundry' else 'default' end segment from customer")
+def segment_lookup(spark, sf_dir):
+    from ..operators import briefing as B
+
+    dim = spark.createDataFrame([("BUILDING", "memory"), ("MACHINERY", "foundry")], "ticker string, segment string")
+    return B.with_segment(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("ticker")), dim).select("c_custkey", "segment")
+
+
+@query("sft_example_status", """select event_id, case event_id % 4 when 0 then 'no_evidence' when 1 then 'accepted' when 2 then 'ticker_drift' else 'invalid' end status from events""")
+def sft_example_status(spark, sf_dir):
+    from ..operators import briefing as B
+
+    m = F.col("event_id") % 4
+    t = F.when(m == 2, "other").otherwise(F.col("event_type"))
+    good = F.concat(F.lit('{"ticker": "'), t, F.lit('", "direction": "long", "conviction": 0.4}'))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ticker"), F.when(m == 0, " ").otherwise("said so").alias("evidence"), F.when(m == 3, '{"direction": "up"}').otherwise(good).alias("completion"))
+    return e.select("event_id", B.sft_status(e).alias("status"))
+
+
+@query("render_sources")
+def render_sources(spark, sf_dir):
+    from ..operators import briefing as B
+
+    c = table(spark, sf_dir, "conversations")
+    p = c.select(F.col("conv_id").alias("case_id"), F.lit("2024-01-01").cast("date").alias("doc_date"), F.col("turn").alias("ordinal"), F.col("turn").alias("chunk_id"), "text")
+    return B.render_sources(p)
+
+
+@query("briefing_passages")
+def briefing_passages(spark, sf_dir):
+    """Cases are sources; chunks are their documents, all dated alike."""
+    from ..operators import briefing as B
+
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("source").alias("ticker"), F.col("doc_id").alias("chunk_id"), F.col("lang").alias("section"), F.lit("2024-01-01").cast("date").alias("doc_date"), F.col("doc_id").alias("ordinal"), "text")
+    cases = d.select(F.col("source").alias("case_id"), F.col("source").alias("ticker"), F.lit("2024-06-01").cast("date").alias("as_of")).distinct()
+    dim = spark.createDataFrame([("src1", "memory"), ("src2", "payments")], "ticker string, segment string")
+    return B.CorpusRetriever(chunks, dim).fetch(cases).select("case_id", "chunk_id", "section")
+
+
+@query("provenance_key", "select r_regionkey, substr(sha256('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}'), 1, 16) k from region")
+def provenance_key(spark, sf_dir):
+    return table(spark, sf_dir, "region").select("r_regionkey", O.provenance_key("r_regionkey", "r_name").alias("k"))
+
+
+@query("shard_order")
+def shard_order(spark, sf_dir):
+    s = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100).alias("shard_id"), (F.col("event_id") % 100).alias("seq_no"))
+    return N.shuffled_order(s, 42)
