@@ -325,7 +325,7 @@ def ic_vs_coverage(spark, sf_dir):
     return per.agg(F.count(F.lit(1)).alias("n_folds"), F.round(V.correlation("ic", "coverage"), 5).alias("corr_ic_coverage"), F.round(F.avg(F.when(F.col("k") > 1, F.col("ic"))), 6).alias("ic_without_worst"))
 
 
-@query("gate_criteria", IC + FOLDS + ", f as (select fold_id, avg(ic) ic from ics join folds using (date) where role = 'test' group by 1), s as (select avg(ic) m, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) t from ics) select m >= 0.03 ic_ok, t >= 2 t_ok, (select count(*) from f where ic > 0) >= 4 folds_ok from s")
+@query("gate_criteria", IC + FOLDS + ", f as (select fold_id, avg(ic) ic from ics join folds using (date) where role = 'test' group by 1), s as (select avg(ic) m, avg(ic) / (stddev_samp(ic) / sqrt(count(ic))) t from ics) select coalesce(m >= 0.03, false) ic_ok, coalesce(t >= 2, false) t_ok, (select count(*) from f where ic > 0) >= 4 folds_ok from s")
 def gate_criteria(spark, sf_dir):
     ic = V.rank_ic(_model(spark, sf_dir), "x1", "y")
     test = _folds(spark, sf_dir).where("role = 'test'").select("fold_id", "date")
