@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import claim, texts
 
 #: Labelled rows of each class that the fit may use.
-SAMPLE = 2500
+SAMPLE = 2000
 FOLDS = 5
 # Seed lexicon, public everyday insults.
 SEEDS = {
@@ -82,7 +82,7 @@ class Model:
     def _known(self, word: str) -> tuple[str, ...]:
         hit = self._seen.get(word)
         if hit is None:
-            if len(self._seen) > 500_000:
+            if len(self._seen) > 250_000:
                 self._seen.clear()
             hit = self._seen[word] = tuple(u for u in units(word) if u in self.weights)
         return hit
@@ -122,26 +122,30 @@ def mine(batch: list[str], y: np.ndarray, least: int = 4) -> tuple[list[str], di
     for text in (t for t, c in zip(batch, y, strict=True) if c):
         rough[np.fromiter({zlib.crc32(u.encode()) % BUCKETS for w in set(_words(text)) for u in units(w)}, np.int64)] += 1
     fits = {w for ws in SEEDS.values() for w in ws.split()}
-    where: dict[str, list[tuple[int, int]]] = {}
     for i, text in enumerate(batch):
         if y[i]:
             for w in set(_words(text)):
                 fits.update(u for u in units(w) if rough[zlib.crc32(u.encode()) % BUCKETS] >= least)
+    toxic_in, clean_in = Counter(), Counter()
+    for i, text in enumerate(batch):
+        (toxic_in if y[i] else clean_in).update({u for w in set(_words(text)) for u in units(w) if u in fits})
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    found = []
+    for u, t in toxic_in.items():
+        lift = np.log((t + 0.5) / (n1 + 1)) - np.log((clean_in[u] + 0.5) / (n0 + 1))
+        if t >= least and lift > 1.2:
+            found.append((-t * lift, u))
+    found = sorted(found)[: 6 * MINED]
+    wanted = {u for _, u in found} | {w for ws in SEEDS.values() for w in ws.split()}
+    where: dict[str, list[tuple[int, int]]] = {}
     for i, text in enumerate(batch):
         bag: Counter = Counter()
         for w, n in Counter(_words(text)).items():
             for u in units(w):
-                if u in fits:
+                if u in wanted:
                     bag[u] += n
         for u, n in bag.items():
             where.setdefault(u, []).append((i, n))
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    found = []
-    for u, places in where.items():
-        t = int(sum(y[i] for i, _ in places))
-        lift = np.log((t + 0.5) / (n1 + 1)) - np.log((len(places) - t + 0.5) / (n0 + 1))
-        if t >= least and lift > 1.2:
-            found.append((-t * lift, u))
     kept, taken = [], set()
     for _, u in sorted(found):
         key = tuple(i for i, _ in where[u])
@@ -192,7 +196,12 @@ def _logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, penalty: float,
     n, m = x.shape
     w, b, v, c = np.zeros(m), 0.0, np.zeros(m), 0.0
     total = weight.sum()
-    rate = 4.0 / (np.linalg.norm(x * np.sqrt(weight / total)[:, None], 2) ** 2 + 1 + 4 * penalty)
+    u = np.ones(m) / np.sqrt(m)  # power iteration for the largest curvature
+    for _ in range(30):
+        u = x.T @ ((x @ u) * (weight / total))
+        top = float(np.linalg.norm(u))
+        u = u / max(top, 1e-12)
+    rate = 4.0 / (1.1 * top + 1 + 4 * penalty)
     for k in range(rounds):
         mu = k / (k + 3)
         aw, ab = w + mu * v, b + mu * c
@@ -226,7 +235,7 @@ def fit(batch: list[str], toxic: list[int], weight: list[float]) -> Model:
     prior = float((y * weight).sum() / weight.sum())
     post, _, _ = label_model(votes, weight, prior, anchor=votes.shape[1] - 1)
     post = 0.5 * post + 0.5 * y  # posterior labels, held to the label voter where the model is torn
-    x = np.hstack([count > 0, np.log(np.maximum(count, 1)), shapes])
+    x = np.hstack([count > 0, np.log(np.maximum(count, 1)), shapes]).astype(np.float32)
     w, b = _logistic(x, post, weight, 2e-4)
     k = len(names)
     return Model({u: (float(w[i]), float(w[k + i])) for i, u in enumerate(names)}, [float(v) for v in w[2 * k :]], float(b))
@@ -262,6 +271,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
 def _scored(model_ref):
     def run(batches):
         model = model_ref.value
+        claim("toxicity", model._seen.clear)
         for b in batches:
             rows = b.num_rows
             got = np.concatenate([np.zeros(0), *(model.score(texts(b.column("text").slice(i, 1000))) for i in range(0, rows, 1000))])
