@@ -96,4 +96,28 @@ ORACLES: dict[str, str] = {
                doc_id is not distinct from first_value(doc_id) over (partition by text_sha256 order by n desc, doc_id nulls last) kept,
                text_sha256
         from d""",
+    "op7_substring_dedup": r"""
+        with n as (
+            select row_number() over () rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        win as (select rid, i, md5(array_to_string(w[i:i + 34], ' ')) h from (select rid, w, unnest(range(1, len(w) - 33)) i from n where len(w) >= 35)),
+        hit as (select rid, i from win where h in (select h from win group by h having count(*) > 1)),
+        cov as (select distinct rid, i + k pos from hit cross join (select unnest(range(35)) k)),
+        word as (select rid, unnest(w) x, unnest(range(1, len(w) + 1)) pos from n),
+        kept as (select word.rid, string_agg(x, ' ' order by word.pos) k from word anti join cov on word.rid = cov.rid and word.pos = cov.pos group by 1),
+        gone as (select rid, count(*) c from cov group by 1)
+        select doc_id, cast(len(w) as bigint) n_words, coalesce(c, 0) n_removed, sha256(coalesce(k, '')) kept_sha256
+        from n left join kept using (rid) left join gone using (rid)""",
+    "op9_ngram_jaccard_join": r"""
+        with recursive n as (
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+        sh as (select distinct doc_id, md5(case when k < 5 then k || ':' || array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end) s
+               from (select doc_id, w, len(w) k, unnest(range(1, greatest(len(w) - 4, 1) + 1)) i from n where len(w) > 0)),
+        size as (select doc_id, count(*) c from sh group by 1),
+        met as (select a.doc_id a, b.doc_id b, count(*) i from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+        link as (select a, b from met join size x on x.doc_id = a join size y on y.doc_id = b where 100 * i >= 80 * (x.c + y.c - i)),
+        both_ways as (select a, b from link union all select b, a from link),
+        reach(a, b) as (select a, a from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+        least_of as (select a, min(b) m from reach group by 1)
+        select n.doc_id, coalesce(c, 0) n_shingles, coalesce(m, n.doc_id) component_id
+        from n left join size on size.doc_id = n.doc_id left join least_of on least_of.a = n.doc_id""",
 }
