@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stemmed
+
 K1, B = 1.2, 0.75
 RRF = 60
 
@@ -38,13 +40,16 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return t.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, stems: bool = False) -> DataFrame:
     """(query_id, key, score) for queries (query_id, terms array); statistics over ``docs`` as given.
 
+    With ``stems`` terms of both sides are reduced by Porter's algorithm.
+
     Only postings of query terms are aggregated; document lengths come with the explode, counts in one pass.
     """
-    asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    t = docs.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), "t")
+    form = stemmed if stems else (lambda c: c)
+    asked = queries.select("query_id", F.explode(form(F.col("terms"))).alias("term")).distinct()
+    t = docs.select(key, form(tokens(F.col(text))).alias("t")).select(key, F.size("t").alias("dl"), "t")
     stats = t.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     hits = t.select(key, "dl", F.explode("t").alias("term")).join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     hits = hits.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -136,3 +141,10 @@ def thinned(df: DataFrame, key: str, most: int) -> DataFrame:
     parts = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.row_number().over(w))
     before = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.join(F.broadcast(before), "_p").where((F.col("_i") - 1 + F.col("_o")) % step == 0).drop("_p", "_i", "_c", "_o")
+
+
+def phrase_hits(docs: DataFrame, phrase: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n): places where the terms stand one after another, as a hyphenated query term is matched."""
+    t = docs.select(key, tokens(F.col(text)).alias("t")).where(F.size("t") >= len(phrase))
+    n = F.aggregate(F.sequence(F.lit(0), F.size("t") - len(phrase)), F.lit(0), lambda a, i: a + (F.slice("t", i + 1, len(phrase)) == F.array(*map(F.lit, phrase))).cast("int"))
+    return t.select(key, n.cast("bigint").alias("n")).where("n > 0")

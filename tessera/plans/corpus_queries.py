@@ -61,6 +61,16 @@ def phrase_match_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).where("n > 0")
 
 
+@query("phrase_hits", f"with t as (select doc_id, {TOK} t from documents), w as (select doc_id, t, unnest(range(1, len(t) - 1)) i from t where len(t) >= 3) select doc_id, count(*) n from w where t[i] = 'gnu' and t[i + 1] = 'general' and t[i + 2] = 'public' group by 1")
+def phrase_hits(spark, sf_dir):
+    return R.phrase_hits(table(spark, sf_dir, "documents"), ["gnu", "general", "public"])
+
+
+@query("bm25_stemmed_topk")
+def bm25_stemmed_topk(spark, sf_dir):
+    return R.top(R.bm25(table(spark, sf_dir, "documents"), _queries(spark), stems=True), 12).select("query_id", "doc_id", "rank")
+
+
 @query("query_terms", "select item_id, list_distinct_terms terms from (select item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\\-./]*'), lambda x: lower(x)), lambda x: len(x) > 1 and x not in (" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + ")) all_terms, array_to_string(list_filter(all_terms, lambda x, i: list_position(all_terms, x) = i), ' ') list_distinct_terms from benchmark)")
 def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))

@@ -232,3 +232,10 @@ def test_stream_takes_only_new_files(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(src)
     windows.run_once(windows.new_files(spark, "id bigint", src), out, ck)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def test_porter_examples():
+    from tessera.functions.stem import stem
+
+    want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "hopefulness": "hope", "triplicate": "triplic", "electrical": "electr", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll"}
+    assert {w: stem(w) for w in want} == want
