@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import claim, texts
 from .packing import ChunkTable
 
 # Fixed value: the vocabulary's split pattern.
@@ -207,6 +207,7 @@ def encode(batch: list[str], path: str) -> Iterator[np.ndarray]:
 
 def _report(path: str):
     def run(batches):
+        claim("bpe", _ready.clear)
         bpe, _ = _tools(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):

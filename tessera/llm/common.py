@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +31,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches cut to so many rows, so that what is built from one stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+_held: dict = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called when a task starts: the caches of another operator, left in this worker by earlier tasks, are cleared."""
+    if _held.get("name") not in (None, name):
+        _held["clear"]()
+        gc.collect()
+    _held.update(name=name, clear=clear)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -38,3 +60,60 @@ def utf8(column: pa.Array) -> list[bytes]:
 def texts(column: pa.Array) -> list[str]:
     """The texts of a string column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+FILTER_BITS = 25
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """A fixed-size filter (4 MB, whatever the input) of the 64-bit values in the one column of ``hashes``.
+
+    Two bits a value. It is built by a combined aggregation; at most 2**(FILTER_BITS - 6) rows reach the
+    driver. It lets all values of the column pass, and others the more the fuller it is, so a join must follow.
+    """
+    h = F.col(hashes.columns[0])
+    low, high = h.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    spread = hashes.select(F.explode(F.array(low, high)).alias("b"))
+    spread = spread.select(F.shiftright("b", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit"))
+    rows = spread.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for part in rows.to_batches():
+        out[part.column(0).to_numpy()] = part.column(1).to_numpy()
+    return out.view(np.uint64)
+
+
+WORDS = 1 << 16
+
+
+def _slot(h: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftright(h, 6), F.lit(WORDS)).cast("int"), F.expr("shiftleft(1L, cast({} & 63 as int))".format("_h"))
+
+
+def split_by_filter(rows: DataFrame, h: Column, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash may be among the one column of ``hashes``, rows whose hash certainly isn't), in the JVM.
+
+    The filter is a table of WORDS 64-bit words, so what is broadcast is bounded whatever the input; the
+    fuller it is, the more rows of the second kind go to the first. A null hash is of the second kind.
+    """
+    word, bit = _slot(F.col("_h"))
+    bits = F.broadcast(hashes.select(F.col(hashes.columns[0]).alias("_h")).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    marked = rows.withColumn("_h", h).withColumn("_word", word).withColumn("_bit", bit).join(bits, "_word", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return marked.where(maybe).select(*rows.columns), marked.where(~maybe).select(*rows.columns)
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the one column of ``dropped``; only rows that may be dropped are shuffled."""
+    gone = dropped.select(F.col(dropped.columns[0]).cast("bigint").alias("_gone"))
+    h = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("bigint")))
+    maybe, sure = split_by_filter(docs, h, gone.select(F.xxhash64("_gone")))
+    return sure.unionByName(maybe.join(gone.distinct(), maybe["doc_id"] == F.col("_gone"), "left_anti"))
+
+
+def may_hold(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether each unsigned 64-bit value may be in the filter."""
+    ok = np.ones(len(values), bool)
+    for shift in (0, 32):
+        b = (values >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        ok &= (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
+    return ok

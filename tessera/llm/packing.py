@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import claim, materialise, texts
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 512
 GROUP = 32
 #: Chunks a worker remembers; beyond it the table starts anew. Longer chunks aren't remembered.
-CACHE = 800_000
+CACHE = 600_000
 LONGEST = 64
 FULL_ENOUGH = 0.97
 
@@ -226,6 +226,7 @@ def _first_pass(path: str):
     def run(batches):
         from pyspark import TaskContext
 
+        claim("packing", _tables.clear)
         part = TaskContext.get().partitionId()
         bins = BestFit()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]

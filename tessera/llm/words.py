@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-LIMIT = 1_000_000
+LIMIT = 250_000
 
 
 class WordHashes(dict):
