@@ -6,16 +6,16 @@ first n - ceil(0.8 n) + 1 of each, so those shingles are the branches of the tre
 
 1. One pass finds the digest of each set and the frequent shingles (in 1 document of RARE or more; their
    number is bounded by the mean set size times RARE, whatever the input). Equal sets are one node.
-2. A second pass writes each node's branches. A task owns the nodes of a branch; those of compatible size
-   pair up. In a branch of more than HOT nodes, each node pairs with one leader only (the node with
-   the largest share of frequent shingles, as an original among edited copies has).
+2. A second pass writes each node's branches. Every node of a branch is paired with the branch's leader, a
+   node drawn by hash, so a node in many branches meets many others of its kind at linear cost.
 3. A parity signature (a bit per shingle hash, xor) bounds the symmetric difference from below and drops
    most pairs that can't link, and never one that can.
 4. Exact overlap: the sets paired with one node form a trie in the global order, walked depth first; sets
    that share a beginning share the partial overlap, and a subtree ends where what remains can't reach
-   the overlap that a link needs. First each node with its nearest partner, then, once components are known,
-   only pairs across components. Nodes of hot branches outside their leader's component
-   are paired with the whole branch in a last round, so no link is lost.
+   the overlap that a link needs. First each node with its nearest leader, then its other leaders where they
+   may connect components; then, with the components known, every pair of a branch's nodes in different components, so no link that connects is lost and
+   groups of copies aren't expanded into pairs. In branches of more than HOT nodes those outside the
+   leader's component meet the rest in a join that splits skewed keys.
 
 Defined results: null or wordless texts have an empty set and link with nothing; a row with a null doc_id
 is returned, with a null component; repeated rows are one node; an empty table gives no rows; only
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import bit_filter, claim, materialise, may_hold, small, utf8, without
 from .components import components
 from .words import TABLE, grams
 
@@ -39,7 +39,7 @@ K = 5
 NUM, DEN = 4, 5  # similarity 0.8
 RARE = 5000
 LEAST_FREQUENT = 32
-HOT = 128
+HOT = 4096  # nodes of a branch that one task pairs up
 TRIE = 256  # sets in one trie
 
 
@@ -82,13 +82,14 @@ def _first_pass(batches):
         for i in range(0, len(key), 100_000):
             yield out(1, _signed(key[i : i + 100_000]), n[i : i + 100_000], pa.nulls(len(key[i : i + 100_000]), pa.binary()))
 
-    for batch in batches:
+    claim("words", TABLE.clear)
+    for batch in small(batches):
         sets = [shingles(t) for t in utf8(batch.column("text"))]
         yield out(0, batch.column("doc_id"), [len(s) for s in sets], pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()))
         for s in sets:
             parts.append(s)
             held += len(s)
-        if held > 8_000_000:
+        if held > 2_000_000:
             yield from flush()
             parts, held = [], 0
     yield from flush()
@@ -127,8 +128,9 @@ def apart(a: bytes, b: bytes) -> int:
 
 def _second_pass(ref):
     def run(batches):
+        claim("words", TABLE.clear)
         heavy, level = ref.value
-        for batch in batches:
+        for batch in small(batches):
             ids, rows = batch.column("doc_id").to_pylist(), []
             for doc, text in zip(ids, utf8(batch.column("text")), strict=True):
                 s = shingles(text)
@@ -146,42 +148,81 @@ def _second_pass(ref):
     return run
 
 
-def _pair_up(batches):
-    """Rows (branch, doc, n, share) sorted by branch: pairs of compatible size of branches up to HOT nodes.
+def _folded(sig: np.ndarray, width: int) -> np.ndarray:
+    """Signatures, one a row, folded to ``width`` words."""
+    while sig.shape[1] > width:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] ^ sig[:, half:]
+    return sig
+
+
+def _cross_pairs(doc: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, sig: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one branch's nodes in different components that sizes, remaining lengths and signatures let link.
 
-    Of larger branches: rows (branch's leader, doc, hot). Only the best node so far and a block of HOT rows are held.
+    ``pos`` is the branch's place in each set. Where it is the first common shingle of a pair, the overlap is at
+    most what remains of either set from there; a pair that this rules out is met again at its first common one.
     """
-    rest = None
-
-    def pairs(t):
-        branch, doc, n, share = (t.column(c).to_numpy() for c in ("branch", "doc_id", "n", "share"))
-        if not len(branch):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        low, high = [], []
-        for k in range(1, HOT):
-            same = branch[k:] == branch[:-k]
-            if not same.any():
-                break
-            a, b, na, nb = doc[:-k][same], doc[k:][same], n[:-k][same], n[k:][same]
-            ok = (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)) & (a != b)
-            low.append(np.minimum(a, b)[ok])
-            high.append(np.maximum(a, b)[ok])
-        a, b = np.concatenate([np.zeros(0, np.int64), *low]), np.concatenate([np.zeros(0, np.int64), *high])
+    left = n - pos
+    _, at, count = np.unique(root, return_inverse=True, return_counts=True)
+    width = np.array([len(x) // 8 for x in sig])
+    kinds = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    table = {w: np.frombuffer(b"".join(sig[i] for i in who), np.uint64).reshape(len(who), w) for w, who in kinds.items()}
+    place = np.zeros(len(doc), np.int64)
+    for who in kinds.values():
+        place[who] = np.arange(len(who))
+    low, high = [], []
+    for i in np.flatnonzero(at != count.argmax()):  # the largest component meets the others only
+        own, wi = table[int(width[i])][place[i] : place[i] + 1], int(width[i])
+        for w, who in kinds.items():
+            if max(w, wi) > 2 * min(w, wi):
+                continue  # such sizes can't link
+            ok = (root[who] != root[i]) & (NUM * np.maximum(n[who], n[i]) <= DEN * np.minimum(n[who], n[i]))
+            ok &= np.minimum(left[who], left[i]) * (NUM + DEN) >= NUM * (n[who] + n[i])
+            met = who[ok]
+            if len(met):
+                common = min(w, wi)
+                gap = np.bitwise_count(_folded(table[w][ok], common) ^ _folded(own, common)).sum(axis=1)
+                total = n[met] + n[i]
+                met = met[gap <= total - 2 * -(-NUM * total // (NUM + DEN))]
+                low.append(np.minimum(doc[met], doc[i]))
+                high.append(np.maximum(doc[met], doc[i]))
+    return np.concatenate([doc[:0], *low]), np.concatenate([doc[:0], *high])
+
+
+def _pair_up(batches):
+    """Rows (branch, doc_id, n, pos, root, sig) sorted by branch: pairs across components, once per task and block of branches."""
+    rest, found, held = None, [], 0
+
+    def out():
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        return a[first], b[first]
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], ["a", "b"])
+
+    def walk(t):
+        nonlocal held
+        branch, doc, n, pos, root = (t.column(c).to_numpy() for c in ("branch", "doc_id", "n", "pos", "root"))
+        sig = t.column("sig")
+        edge = np.flatnonzero(np.concatenate([[True], branch[1:] != branch[:-1], [True]])) if len(branch) else []
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            pair = _cross_pairs(doc[i:j], n[i:j].astype(np.int64), pos[i:j].astype(np.int64), root[i:j], sig.slice(i, j - i).to_pylist())
+            found.append(pair)
+            held += len(pair[0])
 
     for batch in batches:
         t = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
         branch = t.column("branch").to_numpy()
         cut = int(np.searchsorted(branch, branch[-1])) if len(branch) else 0
         rest = t.slice(cut).to_batches()[0] if len(branch) > cut else None
-        a, b = pairs(t.slice(0, cut))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        walk(t.slice(0, cut))
+        if held > 2_000_000:
+            yield out()
+            found.clear()
+            held = 0
     if rest is not None:
-        a, b = pairs(pa.Table.from_batches([rest]))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        walk(pa.Table.from_batches([rest]))
+    yield out()
 
 
 def _may_link(batches):
@@ -195,10 +236,13 @@ def _may_link(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(gap).filter(keep)], ["a", "b", "gap"])
 
 
-def _sets(ref):
+def _sets(ref, ends):
     def run(batches):
+        claim("words", TABLE.clear)
         heavy, level = ref.value
-        for batch in batches:
+        for batch in small(batches):
+            keep = may_hold(ends.value, batch.column("h").to_numpy().view(np.uint64))
+            batch = batch.filter(pa.array(keep))
             made = [_ordered(shingles(t), heavy, level)[0].astype("<u8").tobytes() for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "set"])
 
@@ -294,49 +338,62 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     branches = own.mapInArrow(_second_pass(ref), "doc_id bigint, n int, often int, branches array<bigint>, sig binary, digest binary")
     mine = nodes.select(F.col("node"), F.col("digest").alias("d"))
     branches = materialise(branches.join(mine, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("d")), "left_semi").drop("digest"), "ngram-branches")
-    spread = branches.select(F.explode("branches").alias("branch"), "doc_id", "n", (F.col("often") / F.col("n")).alias("share"))
+    spread = branches.select(F.posexplode("branches").alias("pos", "branch"), "doc_id", "n").withColumn("lot", F.xxhash64("branch", "doc_id"))
     # How many nodes a branch has, combined before its shuffle; branches of one node end here.
-    sizes = spread.groupBy("branch").agg(F.count(F.lit(1)).alias("size"), F.max("share").alias("top")).where("size > 1")
+    sizes = spread.groupBy("branch").agg(F.count(F.lit(1)).alias("size"), F.min("lot").alias("least")).where("size > 1")
     busy = materialise(spread.join(sizes, "branch"), "ngram-busy")
-    small = busy.where(F.col("size") <= HOT).repartition("branch").sortWithinPartitions("branch", "doc_id")
-    pairs = small.select("branch", "doc_id", "n", "share").mapInArrow(_pair_up, "a bigint, b bigint")
-    large = busy.where(F.col("size") > HOT)
-    leaders = large.where("share = top").groupBy("branch").agg(F.min("doc_id").alias("leader"))
-    led = large.join(leaders, "branch").select("branch", "doc_id", "leader", "n")
-    pairs = pairs.unionAll(led.where("doc_id <> leader").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))).distinct()
+    leaders = busy.where("lot = least").groupBy("branch").agg(F.min("doc_id").alias("leader"))
+    led = busy.select("branch", "doc_id", "n", "size").join(leaders, "branch").where("doc_id <> leader")
+    star = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     sigs = branches.select("doc_id", "n", "sig")
 
     def screened(found: DataFrame) -> DataFrame:
         left, right = sigs.toDF("a", "na", "sa"), sigs.toDF("b", "nb", "sb")
         return found.join(left, "a").join(right, "b").mapInArrow(_may_link, "a bigint, b bigint, gap bigint")
 
-    pairs = materialise(screened(pairs), "ngram-pairs")
-    hot = materialise(led, "ngram-hot")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).unionAll(hot.select("doc_id")).distinct()
-    sets = materialise(own.join(ends, "doc_id", "left_semi").mapInArrow(_sets(ref), "doc_id bigint, set binary").dropDuplicates(["doc_id"]), "ngram-sets")
-    # Round 1: each node with its nearest partner.
-    both = pairs.select("a", "b", "gap").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
-    near = both.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    tried = near.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-    tried = materialise(tried.unionAll(hot.select(F.greatest("doc_id", "leader").alias("b"), F.least("doc_id", "leader").alias("a"))).where("a <> b").join(pairs.select("a", "b"), ["a", "b"], "left_semi").select("a", "b").distinct(), "ngram-near")
-    links = materialise(_linked(tried, sets), "ngram-links")
-    roots = materialise(components(links), "ngram-roots")
+    pairs = materialise(screened(star), "ngram-star")
 
-    def across(found: DataFrame) -> DataFrame:
+    def across(found: DataFrame, roots: DataFrame) -> DataFrame:
         ra, rb = roots.toDF("a", "ra"), roots.toDF("b", "rb")
         return found.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
-    # Round 2: pairs across components, and in hot branches all that lie outside their leader's component.
-    rest = across(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-    where = hot.join(roots.toDF("doc_id", "r"), "doc_id", "left").join(roots.toDF("leader", "rl"), "leader", "left")
-    stray = where.where(F.coalesce("r", "doc_id") != F.coalesce("rl", "leader")).select("branch", F.col("doc_id").alias("s"), F.col("n").alias("sn"))
-    met = stray.join(hot.select("branch", "doc_id", "n"), "branch").where(f"s <> doc_id and {NUM} * greatest(n, sn) <= {DEN} * least(n, sn)")
-    met = met.select(F.least("s", "doc_id").alias("a"), F.greatest("s", "doc_id").alias("b")).distinct()
-    rest = rest.unionAll(screened(across(met)).select("a", "b")).distinct()
-    more = materialise(_linked(materialise(rest, "ngram-rest"), sets), "ngram-links")
-    if more.take(1):
+    def sets_of(found: DataFrame) -> DataFrame:
+        """Sets, in the global order, of the nodes of some pairs: a filtered pass over the documents."""
+        ends = found.select(F.col("a").alias("doc_id")).unionAll(found.select("b")).distinct()
+        bits = spark.sparkContext.broadcast(bit_filter(ends.select(F.xxhash64("doc_id").alias("h"))))
+        sets = own.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(ref, bits), "doc_id bigint, set binary")
+        return materialise(sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-sets")
+
+    def merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Components with the links among ``pairs`` added."""
+        links = materialise(_linked(pairs, sets), "ngram-links")
+        if not links.take(1):
+            return roots
         stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = materialise(components(stars.unionAll(more)), "ngram-roots")
+        return materialise(components(stars.unionAll(links)), "ngram-roots")
+
+    # First each node with the nearest of its leaders, then the other pairs that could still connect two components.
+    sets = sets_of(pairs)
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    both = pairs.select("a", "b", "gap").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"))
+    near = both.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    near = materialise(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "ngram-near")
+    roots = merged(roots, near, sets)
+    roots = merged(roots, across(pairs.select("a", "b").join(near, ["a", "b"], "left_anti"), roots), sets)
+    # Then every pair of nodes of one branch that are still in different components.
+    known = busy.select("branch", "doc_id", "n", "pos", "size").join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    torn = known.groupBy("branch").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("branch")
+    known = materialise(known.join(torn, "branch", "left_semi"), "ngram-torn")
+    calm = known.where(F.col("size") <= HOT).select("branch", "doc_id", "n", "pos", "root").join(branches.select("doc_id", "sig"), "doc_id")
+    rest = calm.select("branch", "doc_id", "n", "pos", "root", "sig").repartition("branch").sortWithinPartitions("branch").mapInArrow(_pair_up, "a bigint, b bigint")
+    large = known.where(F.col("size") > HOT)
+    head = large.join(leaders, "branch").where("doc_id = leader").select("branch", F.col("root").alias("head"))
+    stray = large.join(head, "branch").where("root <> head").select("branch", F.col("doc_id").alias("s"), F.col("n").alias("sn"), F.col("pos").alias("sp"), F.col("root").alias("sr"))
+    met = stray.join(large.select("branch", "doc_id", "n", "pos", "root"), "branch").where(f"sr <> root and {NUM} * greatest(n, sn) <= {DEN} * least(n, sn) and {NUM + DEN} * least(n - pos, sn - sp) >= {NUM} * (n + sn)")
+    rest = rest.unionAll(met.select(F.least("s", "doc_id").alias("a"), F.greatest("s", "doc_id").alias("b"))).distinct()
+    rest = materialise(screened(rest).select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
+    if rest.take(1):
+        roots = merged(roots, rest, sets_of(rest))
     return rows.join(nodes, "digest", "left"), roots
 
 
@@ -350,5 +407,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of linked documents the one with the smallest doc_id."""
-    keep = report(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep_id")), "left_semi")
+    gone = report(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    return without(docs, materialise(gone, "ngram-dropped"))
