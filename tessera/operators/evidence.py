@@ -27,7 +27,11 @@ def resolve(document: Column, quote: Column, least: int = QUOTE_LEAST) -> Column
     """
     q = F.regexp_replace(F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?U)^\s+", ""), r"(?U)\s+$", "")
     at = F.instr(document, q) - 1
-    loose = F.regexp_substr(document, quote_pattern(q))
+    # The pattern is tried only where the document has the quote's first two words and its last.
+    flat = squeezed(q)
+    first, second = F.substring_index(flat, " ", 1), F.substring_index(F.substring_index(flat, " ", 2), " ", -1)
+    likely = (F.instr(document, first) > 0) & (F.instr(document, second) > 0) & (F.instr(document, F.substring_index(flat, " ", -1)) > 0)
+    loose = F.when(likely, F.regexp_substr(document, quote_pattern(q)))
     loose_at = F.instr(document, loose) - 1
     found = lambda s, a, t: F.struct(F.lit(s).alias("status"), a.cast("int").alias("start"), (a + F.char_length(t)).cast("int").alias("end"), t.alias("text"))
     none = lambda s: F.struct(F.lit(s).alias("status"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("text"))
