@@ -11,12 +11,12 @@ hold equal windows, so anchors deal passages to shards.
    another, builds their suffix array, and keeps the Burrows-Wheeler transform in a wavelet tree of packed bits.
    Every passage streams through by backward search: the longest match that still occurs twice ends at each
    tried place (matching statistics), and stretches of WINDOW words or more are reported as intervals.
-3. A mixed anchor with more than HOT distinct passages (a passage in very many contexts) is split: its windows
-   are grouped by their own hash, combined before the shuffle.
+3. A mixed anchor with more than HOT distinct passages (a passage in very many contexts) is split: by the half
+   of the context that a window holds, and where that repeats by the window's own hash, combined before the shuffles.
 4. Intervals go back to their documents, and covered words are removed.
 
 Words, grams, passages and windows are compared by 64-bit hashes inside an anchor's group. Two fixed-size bit
-filters, 8 MB each whatever the input, keep passages of anchors seen once out of the second shuffle.
+filters, 4 MB each whatever the input, keep passages of anchors seen once out of the second shuffle.
 
 Defined results: null or wordless texts have no words and the digest of the empty text; repeated rows
 repeat each other's windows, so they lose them; texts shorter than a window stay; a null doc_id is kept as
@@ -30,17 +30,17 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import bit_filter, claim, materialise, may_hold, small, utf8
 from .words import TABLE, mix
 
 WINDOW, GRAM = 35, 16
 SPAN = WINDOW - GRAM + 1  # grams in a window
+HALF = 10  # windows of a hot anchor are split by whether they hold so many words before it
 HOT = 256
-SHARD = 4096  # passages
-FILTER_BITS = 26
+SHARD = 2048  # passages
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -84,7 +84,8 @@ def passages(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def _count_pass(batches):
-    for batch in batches:
+    claim("words", TABLE.clear)
+    for batch in small(batches):
         anchors, contents = [], []
         for text in utf8(batch.column(0)):
             _, _, a, c = passages(TABLE.of(text.split()))
@@ -94,36 +95,29 @@ def _count_pass(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["anchor", "content"])
 
 
-def _passes(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(anchor), bool)
-    for shift in (0, 32):
-        b = (anchor >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
-        ok &= (bits[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) > 0
-    return ok
-
-
 PASSAGE = "doc_id bigint, rid bigint, lo int, windows int, anchor bigint, content bigint, words binary"
 
 
 def _passage_pass(ref):
     def run(batches):
+        claim("words", TABLE.clear)
         shared, mixed = ref.value
         sent: set[int] = set()  # passages whose words this task has sent
-        for batch in batches:
+        for batch in small(batches):
             ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
             cols: list[list] = [[] for _ in range(7)]
             for doc, rid, text in zip(ids, rids, utf8(batch.column("text")), strict=True):
                 h = TABLE.of(text.split())
                 lo, n, anchor, content = passages(h)
-                keep = _passes(shared, anchor) if len(anchor) else np.zeros(0, bool)
+                keep = may_hold(shared, anchor) if len(anchor) else np.zeros(0, bool)
                 if not keep.any():
                     continue
                 lo, n, anchor, content = lo[keep], n[keep], anchor[keep], content[keep]
                 words: list = [None] * len(lo)
-                for i in np.flatnonzero(_passes(mixed, anchor)):
+                for i in np.flatnonzero(may_hold(mixed, anchor)):
                     c = int(content[i])
                     if c not in sent:
-                        if len(sent) > 500_000:
+                        if len(sent) > 200_000:
                             sent.clear()
                         sent.add(c)
                         words[i] = h[lo[i] : lo[i] + n[i] - 1 + WINDOW].tobytes()
@@ -266,21 +260,48 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "mask": np.where(pdf["copies"] > 1, full, mask)})
 
 
+def _place(words: np.ndarray, anchor: int) -> int:
+    """Where the anchor gram begins in a passage."""
+    at = np.arange(len(words) - GRAM + 1)
+    return int(np.flatnonzero(Runs(words).of(at, at + GRAM).view(np.int64) == anchor)[0])
+
+
+def _halves_of(batches):
+    """(anchor, content, copies, words, first, last, hash): each passage's windows in two halves.
+
+    Windows that begin HALF words or more before the anchor all hold the HALF words before it, the others all
+    the words up to WINDOW - HALF + 1 after its start; a half whose hash is alone has no repeated window.
+    """
+    for batch in small(batches):
+        out: list[list] = [[] for _ in range(7)]
+        for anchor, content, n, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "windows", "copies", "words")), strict=True):
+            words = np.frombuffer(raw, np.uint64)
+            a, runs = _place(words, anchor), Runs(words)
+            split = max(0, min(n, a - HALF + 1))  # windows before it begin HALF or more words before the anchor
+            for first, last, low, high in ((0, split, a - HALF, a + GRAM), (split, n, a, a + WINDOW - HALF + 1)):
+                if first < last:
+                    h = int(runs.of(np.array([low]), np.array([high])).view(np.int64)[0])
+                    for col, x in zip(out, (anchor, content, copies, raw, first, last, h), strict=True):
+                        col.append(x)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "content", "copies", "words", "first", "last", "half"])
+
+
 def _windows_of(batches):
-    """Each window of the passages: (anchor, content, window, hash, copies)."""
-    for batch in batches:
+    """Each window of the halves: (anchor, content, window, hash, copies)."""
+    for batch in small(batches):
         out: list[list] = [[] for _ in range(5)]
-        for anchor, content, n, copies, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "windows", "copies", "words")), strict=True):
-            at = np.arange(n)
+        for anchor, content, copies, first, last, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "first", "last", "words")), strict=True):
+            at = np.arange(first, last)
             h = Runs(np.frombuffer(words, np.uint64)).of(at, at + WINDOW).view(np.int64)
-            for col, x in zip(out, ([anchor] * n, [content] * n, at.tolist(), h.tolist(), [copies] * n), strict=True):
+            for col, x in zip(out, ([anchor] * len(at), [content] * len(at), at.tolist(), h.tolist(), [copies] * len(at)), strict=True):
                 col += x
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "content", "w", "hash", "copies"])
 
 
 def _removed(batches):
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text, found in zip(utf8(batch.column("text")), batch.column("found").to_pylist(), strict=True):
             words = text.split()
@@ -303,30 +324,13 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _filters(shared: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bit filters of the shared and of the mixed anchors; at most 2**(FILTER_BITS - 6) words each reach the driver."""
-    size = 1 << FILTER_BITS
-
-    def place(shift: int) -> Column:
-        return F.pmod(F.shiftrightunsigned("anchor", shift), F.lit(size)) if shift else F.col("anchor").bitwiseAND(F.lit(size - 1))
-
-    spread = shared.select("mixed", F.explode(F.array(place(0), place(32))).alias("b"))
-    spread = spread.select("mixed", F.shiftright("b", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("bit"))
-    rows = spread.groupBy("mixed", "word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = [np.zeros(size >> 6, np.int64), np.zeros(size >> 6, np.int64)]
-    for only in (False, True):
-        part = rows[rows["mixed"]] if only else rows
-        np.bitwise_or.at(out[only], part["word"].to_numpy(np.int64), part["bits"].to_numpy(np.int64))
-    return out[0].view(np.uint64), out[1].view(np.uint64)
-
-
 def intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, lo, mask): passages with repeated windows; ``docs`` has doc_id, rid and text."""
     spark = docs.sparkSession
     counted = docs.select("text").mapInArrow(_count_pass, "anchor bigint, content bigint").groupBy("anchor")
     counted = counted.agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
     shared = materialise(counted.where("n > 1").select("anchor", (F.col("least") != F.col("most")).alias("mixed")), "anchors")
-    ref = spark.sparkContext.broadcast(_filters(shared))
+    ref = spark.sparkContext.broadcast((bit_filter(shared.select("anchor")), bit_filter(shared.where("mixed").select("anchor"))))
     found = docs.mapInArrow(_passage_pass(ref), PASSAGE).join(shared, "anchor")
     found = materialise(found, "passages")
     distinct = (
@@ -338,7 +342,9 @@ def intervals(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-distinct.count() // SHARD))
     calm = dealt.where(F.col("contexts") <= HOT).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     masks = calm.select("shard", "anchor", "content", "windows", "copies", "words").groupBy("shard").applyInPandas(_search, "anchor bigint, content bigint, mask bigint")
-    each = dealt.where(F.col("contexts") > HOT).select("anchor", "content", "windows", "copies", "words").mapInArrow(_windows_of, "anchor bigint, content bigint, w int, hash bigint, copies bigint")
+    halves = dealt.where(F.col("contexts") > HOT).select("anchor", "content", "windows", "copies", "words").mapInArrow(_halves_of, "anchor bigint, content bigint, copies bigint, words binary, first int, last int, half bigint")
+    met = halves.groupBy("half").agg(F.sum("copies").alias("places")).where("places > 1").select("half")
+    each = halves.join(met, "half", "left_semi").select("anchor", "content", "copies", "first", "last", "words").mapInArrow(_windows_of, "anchor bigint, content bigint, w int, hash bigint, copies bigint")
     twice = each.groupBy("hash").agg(F.sum("copies").alias("places")).where("places > 1").select("hash")
     split = each.join(twice, "hash", "left_semi").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, w))").alias("mask"))
     masks = materialise(masks.unionByName(split).where("mask <> 0"), "masks")
