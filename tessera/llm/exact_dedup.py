@@ -4,9 +4,10 @@
 2. The directory starts with one bucket and doubles while a bucket holds more distinct hashes than
    its capacity; only overfull buckets split, so local depths differ, as in extendible hashing.
    It is built from at most 2**MAX_DEPTH counts, whatever the input size.
-3. Owner tasks take key ranges of buckets. In a bucket, rows of one hash are chained: rows are equal
-   only where the bytes of their normalised texts are, so a hash collision gives two entries.
-   Map-side combining leaves one row per text and task, so a hot text never meets in one task.
+3. Owner tasks take key ranges. Rows whose hash occurs again are chained: rows are equal only where the
+   bytes of their normalised texts are, so a hash collision gives two entries. A bounded bit filter keeps all
+   other texts out of that shuffle, and map-side combining leaves one row per text and task, so
+   a hot text never meets in one task.
 4. The index (bucket, hash, digest, survivor, size) is a table in the shared folder.
 
 Defined results: a null text counts as empty, so null, empty and blank texts are one group; equal
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, split_by_filter, without
 
 MAX_DEPTH = 12
 CAPACITY = 4096
@@ -88,45 +89,52 @@ def build_index(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY, saved
     counts = {r["slot"]: r["n"] for r in own.select("h").distinct().groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
     places = sorted(directory(counts, capacity).items())
     slots = F.broadcast(spark.createDataFrame(places, "slot int, bucket int"))  # 2**MAX_DEPTH rows
+    placed = own.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("keep_id"))
+    shared = materialise(placed.where("rows > 1").select("h"), "dedup-shared")
+    # Only texts whose hash occurs again are brought together, one row per text and task, and told apart by their bytes.
     norm = normalised(F.col("text"))
-    # Largest (n_chars, then smallest doc_id) as one fixed-width number, so hash aggregation combines it map-side.
     rank = F.char_length(F.coalesce("text", F.lit(""))).cast("decimal(12,0)") * F.lit(_ID_SPAN).cast("decimal(21,0)") - F.coalesce(
         F.col("doc_id").cast("decimal(20,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")
-    )
+    )  # the longest, then the smallest doc_id, as one fixed-width number, so hash aggregation combines it map-side
+    busy, _ = split_by_filter(docs.select("doc_id", "text"), _hash(norm, bits), shared)
     chained = (
-        docs.select(_hash(norm, bits).alias("h"), norm.alias("norm"), rank.cast("decimal(38,0)").alias("rank"))
-        .groupBy("h", "norm")  # equal bytes, not just equal hashes
+        busy.select(_hash(norm, bits).alias("h"), norm.alias("norm"), rank.cast("decimal(38,0)").alias("rank"))
+        .groupBy("h", "norm")
         .agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size"))
         .select("h", "rank", "group_size", F.sha2("norm", 256).alias("digest"))
+        .join(shared, "h", "left_semi")
     )
     span = F.lit(_ID_SPAN).cast("decimal(38,0)")
-    # rank = n * span - id, so with ids of either sign the id is what is left of the nearest multiple.
-    n = F.round(F.col("rank") / span, 0).cast("decimal(38,0)")
+    n = F.round(F.col("rank") / span, 0).cast("decimal(38,0)")  # rank = n * span - id, and ids are far smaller than span
     keep = (n * span).cast("decimal(38,0)") - F.col("rank")
     keep = F.when(keep == F.lit("10000000000000000000").cast("decimal(38,0)"), F.lit(None)).otherwise(keep).cast("bigint")
-    index = (
-        chained.withColumn("keep_id", keep)
-        .withColumn("slot", _prefix(F.col("h"), bits))
-        .join(slots, "slot")
-        .select("bucket", "h", "digest", "keep_id", "group_size")
-    )
+    single = placed.where("rows = 1").select("h", F.lit(None).cast("string").alias("digest"), "keep_id", F.lit(1).cast("bigint").alias("group_size"))
+    index = chained.select("h", "digest", keep.alias("keep_id"), "group_size").unionByName(single)
+    index = index.withColumn("slot", _prefix(F.col("h"), bits)).join(slots, "slot").select("bucket", "h", "digest", "keep_id", "group_size")
     return own, materialise(index, "dedup-index")
 
 
+def _chains(index: DataFrame) -> DataFrame:
+    """The index entries of hashes that occur more than once, by digest."""
+    return index.where("digest is not null").select("digest", "keep_id", "group_size")
+
+
 def report(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of repeated rows with one doc_id that survives, each row says kept.
     """
     own, index = build_index(docs, bits, capacity)
-    found = own.join(index.select("digest", "keep_id", "group_size"), "digest")
+    chains = _chains(index).withColumn("_found", F.lit(True))
+    found = own.join(chains, "digest", "left")
+    keep = F.when(F.col("_found"), F.col("keep_id")).otherwise(F.col("doc_id"))
     return found.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256")
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
 def survivors(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: those whose doc_id the index names as survivor."""
-    _, index = build_index(docs, bits, capacity)
-    keys = index.select(F.col("keep_id").alias("_keep_id")).distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The rows of ``docs`` that stay, all columns; rows without a doc_id stay."""
+    own, index = build_index(docs, bits, capacity)
+    gone = own.join(_chains(index), "digest").where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id")
+    return without(docs, materialise(gone, "dedup-dropped"))
