@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -31,6 +32,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Keep Arrow batches to so many rows in this session: texts are long, and an executor holds several batches off its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def small(batches, rows: int = 1000):
     """Arrow batches cut to so many rows, so that what is built from one stays small."""
     for batch in batches:
@@ -41,11 +51,21 @@ def small(batches, rows: int = 1000):
 _held: dict = {}
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that an idle worker holds little."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def claim(name: str, clear: Callable[[], None]) -> None:
     """Called when a task starts: the caches of another operator, left in this worker by earlier tasks, are cleared."""
     if _held.get("name") not in (None, name):
         _held["clear"]()
-        gc.collect()
+        trim()
     _held.update(name=name, clear=clear)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, claim, materialise, may_hold, small, utf8, without
+from .common import bit_filter, claim, materialise, may_hold, modest_batches, small, utf8, without
 from .components import components
 from .words import TABLE, grams
 
@@ -89,7 +89,7 @@ def _first_pass(batches):
         for s in sets:
             parts.append(s)
             held += len(s)
-        if held > 2_000_000:
+        if held > 1_000_000:
             yield from flush()
             parts, held = [], 0
     yield from flush()
@@ -216,7 +216,7 @@ def _pair_up(batches):
         cut = int(np.searchsorted(branch, branch[-1])) if len(branch) else 0
         rest = t.slice(cut).to_batches()[0] if len(branch) > cut else None
         walk(t.slice(0, cut))
-        if held > 2_000_000:
+        if held > 500_000:
             yield out()
             found.clear()
             held = 0
@@ -326,7 +326,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): rows (doc_id, n, digest, node) of every document, roots (node, root) of nodes with a link."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialise(own.mapInArrow(_first_pass, "kind int, key bigint, n bigint, digest binary"), "ngram-first")
+    first = materialise(modest_batches(own).mapInArrow(_first_pass, "kind int, key bigint, n bigint, digest binary"), "ngram-first")
     rows = first.where("kind = 0").select(F.col("key").alias("doc_id"), "n", "digest")
     total = rows.count()
     bar = max(LEAST_FREQUENT, total // RARE)

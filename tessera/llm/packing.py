@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialise, texts
+from .common import claim, materialise, modest_batches, texts
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 512
 GROUP = 32
 #: Chunks a worker remembers; beyond it the table starts anew. Longer chunks aren't remembered.
-CACHE = 600_000
+CACHE = 400_000
 LONGEST = 64
 FULL_ENOUGH = 0.97
 
@@ -268,7 +268,7 @@ def _second_pass(pdf):
 def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     first = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = materialise(first.mapInArrow(_first_pass(tokenizer_path), PIECES + ", loose boolean, grp bigint"), "packed")
+    first = materialise(modest_batches(first).mapInArrow(_first_pass(tokenizer_path), PIECES + ", loose boolean, grp bigint"), "packed")
     done = first.where(~F.col("loose")).drop("loose", "grp")
     again = first.where("loose").groupBy("grp").applyInPandas(_second_pass, PIECES)
     return done.unionByName(again)

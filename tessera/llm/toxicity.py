@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, texts
+from .common import claim, modest_batches, texts, trim
 
 #: Labelled rows of each class that the fit may use.
 SAMPLE = 2000
@@ -82,7 +82,7 @@ class Model:
     def _known(self, word: str) -> tuple[str, ...]:
         hit = self._seen.get(word)
         if hit is None:
-            if len(self._seen) > 250_000:
+            if len(self._seen) > 100_000:
                 self._seen.clear()
             hit = self._seen[word] = tuple(u for u in units(word) if u in self.weights)
         return hit
@@ -276,6 +276,7 @@ def _scored(model_ref):
             rows = b.num_rows
             got = np.concatenate([np.zeros(0), *(model.score(texts(b.column("text").slice(i, 1000))) for i in range(0, rows, 1000))])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "_score"])
+        trim()
 
     return run
 
@@ -284,7 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with a column ``_score``."""
     ref = docs.sparkSession.sparkContext.broadcast(model)  # at most MINED units and the seeds
     schema = docs.select("*", F.lit(0.0).cast("double").alias("_score")).schema
-    return docs.mapInArrow(_scored(ref), schema)
+    return modest_batches(docs).mapInArrow(_scored(ref), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:

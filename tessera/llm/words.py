@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-LIMIT = 250_000
+LIMIT = 150_000
 
 
 class WordHashes(dict):
