@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tokens of a training sequence.
+SEQ_LEN = 4096
+
 
 def token_lengths(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, white-space words standing in for an injected tokenizer's tokens."""
@@ -40,7 +43,7 @@ def shard_totals(docs: DataFrame, seq_len: int, shard_tokens: int, batch: int =
     return docs.agg((seqs * seq_len).alias("tokens"), seqs.alias("sequences"), F.ceil(seqs / per).alias("shards"), F.floor(seqs / batch).alias("steps_per_epoch"))
 
 
-def masks(examples: DataFrame, seq_len: int) -> DataFrame:
+def masks(examples: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
     """(.., n_prompt, n_completion) after cutting prompt and completion to ``seq_len``; rows without completion tokens go."""
     p = F.least("n_prompt", F.lit(seq_len))
     c = F.least("n_completion", F.lit(seq_len) - p)

@@ -299,18 +299,36 @@ def token_chunks(spark, sf_dir):
 SFT = f"c as (select conv_id, sum(case when role <> 'assistant' then {N_TOK} else 0 end) p, sum(case when role = 'assistant' then {N_TOK} else 0 end) k from conversations group by 1)"
 
 
-@query("sft_mask_lengths", f"with {SFT}, m as (select conv_id, least(p, 64) kp, least(k, 64 - least(p, 64)) kc from c) select conv_id, cast(kp as bigint) kept_prompt, cast(kc as bigint) kept_completion from m where kc > 0")
-def sft_mask_lengths(spark, sf_dir):
+def _sft_examples(spark, sf_dir):
     t = N.token_lengths(table(spark, sf_dir, "conversations"))
     own = F.col("role") == "assistant"
-    e = t.groupBy("conv_id").agg(F.coalesce(F.sum(F.when(~own, F.col("n_tokens"))), F.lit(0)).alias("n_prompt"), F.coalesce(F.sum(F.when(own, F.col("n_tokens"))), F.lit(0)).alias("n_completion"))
-    return N.masks(e, 64).select("conv_id", "kept_prompt", "kept_completion")
+    return t.groupBy("conv_id").agg(F.coalesce(F.sum(F.when(~own, F.col("n_tokens"))), F.lit(0)).alias("n_prompt"), F.coalesce(F.sum(F.when(own, F.col("n_tokens"))), F.lit(0)).alias("n_completion"))
+
+
+def _mask_sums(lengths):
+    m = lengths.withColumn("mask", N.mask_array(F.col("kept_prompt"), F.col("kept_completion")))
+    return m.select("conv_id", F.size("mask").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_trained"))
+
+
+@query("sft_mask_lengths", f"with {SFT}, m as (select conv_id, least(p, 64) kp, least(k, 64 - least(p, 64)) kc from c) select conv_id, cast(kp as bigint) kept_prompt, cast(kc as bigint) kept_completion from m where kc > 0")
+def sft_mask_lengths(spark, sf_dir):
+    """Cut at 64 tokens, so that the cut meets most examples; ``sft_mask_lengths_full`` has the training length."""
+    return N.masks(_sft_examples(spark, sf_dir), 64).select("conv_id", "kept_prompt", "kept_completion")
 
 
 @query("sft_mask_sums", f"with {SFT}, m as (select conv_id, least(p, 64) kp, least(k, 64 - least(p, 64)) kc from c) select conv_id, cast(kp + kc as integer) n_ids, cast(kc as integer) n_trained from m where kc > 0")
 def sft_mask_sums(spark, sf_dir):
-    m = sft_mask_lengths(spark, sf_dir).withColumn("mask", N.mask_array(F.col("kept_prompt"), F.col("kept_completion")))
-    return m.select("conv_id", F.size("mask").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_trained"))
+    return _mask_sums(sft_mask_lengths(spark, sf_dir))
+
+
+@query("sft_mask_lengths_full", f"with {SFT}, m as (select conv_id, least(p, 4096) kp, least(k, 4096 - least(p, 4096)) kc from c) select conv_id, cast(kp as bigint) kept_prompt, cast(kc as bigint) kept_completion from m where kc > 0")
+def sft_mask_lengths_full(spark, sf_dir):
+    return N.masks(_sft_examples(spark, sf_dir)).select("conv_id", "kept_prompt", "kept_completion")
+
+
+@query("sft_mask_sums_full", f"with {SFT}, m as (select conv_id, least(p, 4096) kp, least(k, 4096 - least(p, 4096)) kc from c) select conv_id, cast(kp + kc as integer) n_ids, cast(kc as integer) n_trained from m where kc > 0")
+def sft_mask_sums_full(spark, sf_dir):
+    return _mask_sums(sft_mask_lengths_full(spark, sf_dir))
 
 
 @query("interleave_schedule", "select event_id batch_no, case when (event_id + 1) % 4 = 0 then ((event_id + 1) // 4 - 1) % 7 end sft_example from events")
