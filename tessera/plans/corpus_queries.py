@@ -251,7 +251,11 @@ def shingle_counts(spark, sf_dir):
 
 
 M50 = (1 << 50) - 1
-SIG = f"{SHINGLES}, ab as (select doc_id, source, ('0x' || substr(md5(x), 1, 15))::bigint & {M50} a, ('0x' || substr(md5(x), 17, 15))::bigint & {M50} b from (select doc_id, source, unnest(s) x from sx)), hs as (select doc_id, source, i, min((a + i * b) & {M50}) m from ab cross join (select unnest(range({PERMS})) i) group by 1, 2, 3), sg as (select doc_id, source, list(m order by i) sig from hs group by 1, 2)"
+def _sig_sql(perms):
+    return f"{SHINGLES}, ab as (select doc_id, source, ('0x' || substr(md5(x), 1, 15))::bigint & {M50} a, ('0x' || substr(md5(x), 17, 15))::bigint & {M50} b from (select doc_id, source, unnest(s) x from sx)), hs as (select doc_id, source, i, min((a + i * b) & {M50}) m from ab cross join (select unnest(range({perms})) i) group by 1, 2, 3), sg as (select doc_id, source, list(m order by i) sig from hs group by 1, 2)"
+
+
+SIG = _sig_sql(PERMS)
 
 
 def _sigs(spark, sf_dir):
@@ -263,7 +267,12 @@ def minhash_signature(spark, sf_dir):
     return _sigs(spark, sf_dir).select("doc_id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"))
 
 
-BAND = f"{SIG}, bd as (select doc_id, source, b, array_to_string(sig[b*4+1:b*4+4], ',') h from sg cross join (select unnest(range(8)) b)), cand as (select distinct x.source, x.doc_id a, y.doc_id b from bd x join bd y on x.source = y.source and x.b = y.b and x.h = y.h and x.doc_id < y.doc_id), ver as (select c.source, a, b, len(list_filter(list_zip(s1.sig, s2.sig), lambda z: z[1] = z[2])) / {PERMS} sim from cand c join sg s1 on s1.doc_id = a join sg s2 on s2.doc_id = b)"
+def _band_sql(perms, bands):
+    rows = perms // bands
+    return f"{_sig_sql(perms)}, bd as (select doc_id, source, b, array_to_string(sig[b*{rows}+1:b*{rows}+{rows}], ',') h from sg cross join (select unnest(range({bands})) b)), cand as (select distinct x.source, x.doc_id a, y.doc_id b from bd x join bd y on x.source = y.source and x.b = y.b and x.h = y.h and x.doc_id < y.doc_id), ver as (select c.source, a, b, len(list_filter(list_zip(s1.sig, s2.sig), lambda z: z[1] = z[2])) / {perms} sim from cand c join sg s1 on s1.doc_id = a join sg s2 on s2.doc_id = b)"
+
+
+BAND = _band_sql(PERMS, 8)
 
 
 def _pairs(spark, sf_dir):
@@ -281,11 +290,49 @@ def minhash_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("greedy_dedup", f"with recursive {BAND}, e as (select a, b from ver where sim >= 0.8), nodes as (select a n from e union select b from e), step(i, n, kept) as (select 0, cast(null as bigint), cast([] as bigint[]) union all select i + 1, x.n, case when exists (select 1 from e where e.b = x.n and list_contains(kept, e.a)) then kept else list_append(kept, x.n) end from step, (select n, row_number() over (order by n) r from nodes) x where x.r = i + 1), fin as (select kept from step order by i desc limit 1) select b doc, min(a) rep from e, fin where list_contains(kept, a) and not list_contains(kept, b) group by 1")
+def _greedy_sql(band):
+    return f"with recursive {band}, e as (select a, b from ver where sim >= 0.8), nodes as (select a n from e union select b from e), step(i, n, kept) as (select 0, cast(null as bigint), cast([] as bigint[]) union all select i + 1, x.n, case when exists (select 1 from e where e.b = x.n and list_contains(kept, e.a)) then kept else list_append(kept, x.n) end from step, (select n, row_number() over (order by n) r from nodes) x where x.r = i + 1), fin as (select kept from step order by i desc limit 1) select b doc, min(a) rep from e, fin where list_contains(kept, a) and not list_contains(kept, b) group by 1"
+
+
+@query("greedy_dedup", _greedy_sql(BAND))
 def greedy_dedup(spark, sf_dir):
     return D.greedy(_pairs(spark, sf_dir))
 
 
+# The same at the operators' own size, 128 hashes in 16 bands.
+
+SIG_FULL, BAND_FULL = _sig_sql(D.PERMUTATIONS), _band_sql(D.PERMUTATIONS, D.BANDS)
+
+
+def _sigs_full(spark, sf_dir):
+    return D.signatures(table(spark, sf_dir, "documents"), "source")
+
+
+def _pairs_full(spark, sf_dir):
+    s = _sigs_full(spark, sf_dir)
+    return D.verified(D.candidates(s, "source"), s)
+
+
+@query("minhash_signature_full", f"with {SIG_FULL} select doc_id, array_to_string(sig, ',') sig from sg")
+def minhash_signature_full(spark, sf_dir):
+    return _sigs_full(spark, sf_dir).select("doc_id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"))
+
+
+@query("lsh_candidates_full", f"with {BAND_FULL} select source, a, b from cand")
+def lsh_candidates_full(spark, sf_dir):
+    return D.candidates(_sigs_full(spark, sf_dir), "source")
+
+
+@query("minhash_pairs_full", f"with {BAND_FULL} select source, a, b, round(sim, 6) similarity from ver where sim >= 0.8")
+def minhash_pairs_full(spark, sf_dir):
+    return _pairs_full(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("greedy_dedup_full", _greedy_sql(BAND_FULL))
+def greedy_dedup_full(spark, sf_dir):
+    return D.greedy(_pairs_full(spark, sf_dir))
+
+
 # ---- chunks
 
 @query("chunk_offsets")
