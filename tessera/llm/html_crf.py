@@ -6,7 +6,8 @@ what its text looks like. The field is trained on labelled pages (``labelled_pag
 from common page furniture, labelled as they are made) and decoded by Viterbi; blocks labelled main make the text.
 
 Defined results: a null or empty html, or a page without main blocks, gives an empty text; unclosed and
-misnested tags close at the end of what holds them; repeated rows are extracted alike; an empty table
+misnested tags close at the end of what holds them (an unclosed script, style, textarea or title holds the
+rest of the page; of other elements without text only the tag goes); repeated rows are extracted alike; an empty table
 gives no rows; only page_id, url and html are read.
 """
 
@@ -30,6 +31,10 @@ _name_word = re.compile(r"[a-z]+")
 RAW = frozenset("script style template noscript title textarea svg math iframe object select option head".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Of the first, the ones that hold the rest of a page when they aren't closed.
+TO_END = frozenset("script style textarea title".split())
+#: An attribute value without quotes that ends in a slash, which isn't the tag's own.
+_bare_end = re.compile(r"=\s*[^\s\"'=]+/\Z")
 _raw_end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 #: A start tag that ends an open element of the named kinds.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -49,6 +54,7 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, frozenset]] = []
     held: list[str] = []
+    endless: set[str] = set()  # names without an end tag in what is left
     linked = in_link = 0
 
     def flush():
@@ -76,9 +82,15 @@ def blocks(page: str) -> list[Block]:
             name = name.lower()
             closing = bool(match[2])
             if name in RAW and not closing:
-                if name != "head":
-                    stop = _raw_end[name].search(page, at)
-                    at = stop.end() if stop else end
+                # A self-closing tag is empty; of those without an end tag, only raw texts take the rest of the page.
+                if name != "head" and (not match[4].endswith("/") or _bare_end.search(match[4])):
+                    stop = None if name in endless else _raw_end[name].search(page, at)
+                    if stop:
+                        at = stop.end()
+                    elif name in TO_END:
+                        at = end
+                    else:
+                        endless.add(name)
             elif name == "a":
                 in_link = 0 if closing else 1
             elif name in INLINE:
