@@ -122,14 +122,18 @@ def ridge_two(rows: DataFrame, x1: str, x2: str, y: str, alpha: float = 10.0, by
     return s.withColumn("b0", F.col("m_y") - F.col("b1") * F.col("m_1") - F.col("b2") * F.col("m_2")).select(*by, "n", "b0", "b1", "b2")
 
 
-def gbdt(seed: int = 42, trees: int = 50):
+#: Boosting rounds of the production model.
+TREES = 300
+
+
+def gbdt(seed: int = 42, trees: int = TREES):
     """Boosted regression trees with the engine's defaults; fit on an assembled ``features`` vector."""
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(featuresCol="features", labelCol="label", maxDepth=4, maxIter=trees, stepSize=0.03, minInstancesPerNode=100, subsamplingRate=0.8, featureSubsetStrategy="0.7", seed=seed)
 
 
-def walk_forward_predict(rows: DataFrame, folds: DataFrame, names: list[str], label: str, trees: int = 50) -> DataFrame:
+def walk_forward_predict(rows: DataFrame, folds: DataFrame, names: list[str], label: str, trees: int = TREES) -> DataFrame:
     """(fold_id, date, ticker, score) of models refitted per fold; the loop is over folds, not data."""
     from pyspark.ml.feature import VectorAssembler
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import panel as P
 from ..operators import validation as V
 from ..sources.panel import weekly_panel
-from ..sources.tables import table
+from ..sources.tables import saved, table
 from .catalog import query
 
 GRID = """
@@ -336,4 +336,8 @@ def gate_criteria(spark, sf_dir):
 
 @query("gbdt_predictions")
 def gbdt_predictions(spark, sf_dir):
-    return V.walk_forward_predict(_model(spark, sf_dir), _folds(spark, sf_dir), ["x1", "x2"], "y", trees=5)
+    """All registered features as ranks; the rows are written once, as every fold and tree reads them."""
+    names = P.V1 + P.ORTHOGONAL
+    p = P.compute(P.relative_labels(weekly_panel(spark, sf_dir)), names)
+    rows = P.model_rows(P.normalise(p, names), names).select("date", "ticker", "fwd_rel_return", *names)
+    return V.walk_forward_predict(saved(rows, "rows"), saved(_folds(spark, sf_dir), "folds"), list(names), "fwd_rel_return")

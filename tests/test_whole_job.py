@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 
-from tessera.operators import training
+from tessera.operators import panel, training, validation
 from tessera.plans import catalog
 
 
@@ -51,3 +51,17 @@ def test_minhash_queries_use_the_whole_signature(spark, tmp_path):
     assert run("lsh_candidates_full") == cand
     assert {(r["a"], r["b"], r["similarity"]) for r in catalog.QUERIES["minhash_pairs_full"](spark, str(tmp_path)).collect()} == {(a, b, round(same[a, b], 6)) for a, b in close}
     assert {(r["doc"], r["rep"]) for r in catalog.QUERIES["greedy_dedup_full"](spark, str(tmp_path)).collect()} == dropped
+
+
+def test_boosting_has_all_features_and_trees(spark, monkeypatch):
+    """The rows and settings the registered query fits on; fitting itself takes minutes."""
+    seen = {}
+
+    def fit(rows, folds, names, label, trees=validation.TREES):
+        seen.update(rows=rows, names=names, trees=trees)
+
+    monkeypatch.setattr(validation, "walk_forward_predict", fit)
+    catalog.QUERIES["gbdt_predictions"](spark, "/root/testdata/sf0.001")
+    assert set(seen["names"]) == panel.REGISTRY.keys() and seen["trees"] == validation.gbdt().getMaxIter() == 300
+    rows = seen["rows"].select(*seen["names"]).collect()
+    assert rows and all(0 < x <= 1 for r in rows for x in r)
