@@ -1,10 +1,10 @@
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, rank int, slot int, digest string, node int, root int, branch int, norm string, words int, bucket int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, h string, rank int, slot int, digest string, node int, root int, branch int, norm string, words int, bucket int, _H int, _bits int, _gone int, _masked string, _hidden string, _score double, _hash string, _line int, _words string, _slot int, _found int"
 
 
 def rows(texts):
-    return [(i, t, "en", "s", None if t is None else len(t), "x", 1, 2, "d", 3, 4, 5, "n", 6, 7) for i, t in texts]
+    return [(i, t, "en", "s", None if t is None else len(t), "x", 1, 2, "d", 3, 4, 5, "n", 6, 7, 8, 9, 10, "m", "hid", 0.25, "ha", 11, "wo", 12, 13) for i, t in texts]
 
 
 @pytest.fixture(scope="session")
