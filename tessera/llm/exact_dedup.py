@@ -1,18 +1,18 @@
 """Exact dedup through an extendible-hash index kept on shared files, in DataFrame operations only.
 
-1. Every row gets the 64-bit hash of its normalised text; its top bits name a bucket.
-2. The directory starts with one bucket and doubles while a bucket holds more distinct hashes than
-   its capacity; only overfull buckets split, so local depths differ, as in extendible hashing.
-   It is built from at most 2**MAX_DEPTH counts, whatever the input size.
-3. Owner tasks take key ranges. Rows whose hash occurs again are chained: rows are equal only where the
-   bytes of their normalised texts are, so a hash collision gives two entries. A bounded bit filter keeps all
-   other texts out of that shuffle, and map-side combining leaves one row per text and task, so
-   a hot text never meets in one task.
-4. The index (bucket, hash, digest, survivor, size) is a table in the shared folder.
+1. Every row gets the 64-bit hash of its normalised text; its top ``depth`` bits name a slot of the directory.
+2. The directory starts with one bucket and doubles while a bucket holds more than CAPACITY distinct hashes; only
+   overfull buckets split, so local depths differ and all slots of a bucket that didn't split point to it. It is
+   worked out from the counts of the slots and kept as a table; a slot that is overfull itself makes the directory double again.
+3. Texts whose hash occurs again are looked up through the directory. One row per text and group of tasks goes to the
+   owner task of the bucket's key range, which chains the entries of a hash and tells texts apart by their bytes. A bit
+   filter keeps all other texts out of that shuffle, and combining before it leaves few rows of a hot text.
+4. The index (bucket, hash, digest, survivor, size) is a table in the shared folder, dealt and sorted by bucket and hash, so that
+   a bucket is read from one file. Rows find their chain by directory slot, bucket and hash.
 
 Defined results: a null text counts as empty, so null, empty and blank texts are one group; equal
 n_chars go to the smaller doc_id, a null doc_id comes last; repeated rows count one by one; extra
-columns are kept by ``survivors`` whatever their names.
+columns are kept by ``survivors`` whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, split_by_filter, without
+from .common import materialise, release, split_by_filter, without
 
-MAX_DEPTH = 12
+#: Distinct hashes that a bucket may hold.
 CAPACITY = 4096
+#: Bits of the directory beyond those that buckets of equal size would need, and the least it has.
+SPARE = 3
+#: Groups with more than this share of the rows are joined by broadcast; there are at most so many of them.
+HOT_GROUPS = 1000
+#: Slots of a directory that is broadcast; a larger one is joined by shuffling.
+SLOTS = 1 << 16
+SALTS = 8
 _ID_SPAN = "100000000000000000000"  # 10**20, above any 64-bit id
 
 
@@ -36,35 +43,34 @@ def _hash(norm: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(norm), 64 - bits) if bits < 64 else F.xxhash64(norm)
 
 
-def _prefix(h: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(h, max(0, bits - MAX_DEPTH)).cast("int")
+def _slot(h: Column, bits: int, depth: int) -> Column:
+    """The first ``depth`` of a hash's bits."""
+    return F.shiftrightunsigned(h, bits - depth) if depth else F.lit(0).cast("bigint")
 
 
-def directory(counts: dict[int, int], capacity: int = CAPACITY, depth: int = MAX_DEPTH) -> dict[int, int]:
-    """Slot of the full-depth directory -> bucket, from the number of hashes in each slot.
+def directory(hashes: DataFrame, bits: int = 64, capacity: int = CAPACITY, depth: int | None = None) -> tuple[DataFrame, int]:
+    """(directory, depth): rows (slot, bucket, local) of the distinct hashes in the one column ``h`` of ``hashes``.
 
-    Doubles the directory until no bucket is overfull or the depth is used up; a bucket that is not
-    overfull keeps its local depth, and all its slots point to it.
+    A bucket is the shortest prefix, of ``local`` bits, under which no more than ``capacity`` hashes stand; its number is
+    the last slot it covers. Starts at a depth that suits the count and doubles until no bucket is overfull, or all bits are used.
     """
-    buckets = {(0, 0): sum(counts.values())}  # (local depth, prefix) -> hashes
-    slots = dict(counts)
-    by_level = {depth: slots}
-    for level in range(depth - 1, -1, -1):
-        upper: dict[int, int] = {}
-        for prefix, n in by_level[level + 1].items():
-            upper[prefix >> 1] = upper.get(prefix >> 1, 0) + n
-        by_level[level] = upper
-    for level in range(depth):
-        full = [b for b, n in buckets.items() if b[0] == level and n > capacity]
-        for b in full:
-            del buckets[b]
-            for half in (2 * b[1], 2 * b[1] + 1):
-                buckets[(level + 1, half)] = by_level[level + 1].get(half, 0)
-    found: dict[int, int] = {}
-    for number, (level, prefix) in enumerate(sorted(buckets, key=lambda b: b[1] << (depth - b[0]))):
-        for slot in range(prefix << (depth - level), (prefix + 1) << (depth - level)):
-            found[slot] = number
-    return found
+    if depth is None:
+        depth = min(bits, max(0, -(-hashes.count() // capacity) - 1).bit_length() + SPARE)
+    while True:
+        counts = materialise(hashes.groupBy(_slot(F.col("h"), bits, depth).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "dedup-slots")
+        if depth >= bits or not counts.where(F.col("n") > capacity).take(1):
+            break
+        release(counts)
+        depth = min(bits, depth + SPARE)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("local")
+    prefix = lambda: F.call_function("shiftrightunsigned", F.col("slot"), F.lit(depth) - F.col("local"))
+    above = counts.select("slot", "n", levels).withColumn("prefix", prefix())
+    roomy = above.groupBy("local", "prefix").agg(F.sum("n").alias("n")).where((F.col("n") <= capacity) | (F.col("local") == depth)).select("local", "prefix")
+    found = above.join(roomy, ["local", "prefix"]).groupBy("slot").agg(F.min("local").alias("local"))
+    last = F.call_function("shiftleft", prefix() + 1, F.lit(depth) - F.col("local")) - 1
+    out = materialise(found.select("slot", last.alias("bucket"), "local"), "dedup-directory")
+    release(counts)
+    return out, depth
 
 
 def entries(docs: DataFrame, bits: int = 64) -> DataFrame:
@@ -78,45 +84,61 @@ def entries(docs: DataFrame, bits: int = 64) -> DataFrame:
     )
 
 
-def build_index(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY, saved: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entries, index), both tables in the shared folder.
+class Index:
+    """An extendible-hash index: ``slots`` (slot, bucket), ``chains`` (bucket, h, digest, keep_id, group_size) and its entries."""
 
-    index: bucket, h, digest, keep_id, group_size; entries of one h are its chain.
-    """
-    spark = docs.sparkSession
+    def __init__(self, own: DataFrame, slots: DataFrame, depth: int, chains: DataFrame, bits: int):
+        self.own, self.slots, self.depth, self.chains, self.bits = own, slots, depth, chains, bits
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the bucket that the directory gives for their ``h``; hashes that it doesn't know go."""
+        return _placed(rows, self.slots, self.bits, self.depth)
+
+    def probe(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which have ``h`` and ``digest``, with (keep_id, group_size) of their chain's entry; null where there is none.
+
+        Groups of a large share of the rows are few and met by broadcast, so none of them gathers in one task.
+        """
+        bar = -(-self.own.count() // HOT_GROUPS)
+        hot = self.chains.where(F.col("group_size") > bar)
+        key = ["bucket", "h", "digest"]
+        first = self.place(rows).join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+        done = first.where("_hot").drop("_hot")
+        rest = first.where("_hot is null").drop("_hot", "keep_id", "group_size")
+        cold = self.chains.where(F.col("group_size") <= bar)
+        return done.unionByName(rest.join(cold, key, "left")).drop("bucket")
+
+
+def _placed(rows: DataFrame, slots: DataFrame, bits: int, depth: int) -> DataFrame:
+    table = slots.select("slot", "bucket")
+    table = F.broadcast(table) if slots.count() <= SLOTS else table
+    return rows.withColumn("slot", _slot(F.col("h"), bits, depth)).join(table, "slot").drop("slot")
+
+
+def build_index(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY, saved: DataFrame | None = None) -> Index:
+    """The index of a table, in the shared folder. Chains hold the texts whose hash occurs again."""
     own = saved if saved is not None else materialise(entries(docs, bits), "dedup-entries")
-    slot = _prefix(F.col("h"), bits)
-    counts = {r["slot"]: r["n"] for r in own.select("h").distinct().groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    places = sorted(directory(counts, capacity).items())
-    slots = F.broadcast(spark.createDataFrame(places, "slot int, bucket int"))  # 2**MAX_DEPTH rows
-    placed = own.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("keep_id"))
-    shared = materialise(placed.where("rows > 1").select("h"), "dedup-shared")
-    # Only texts whose hash occurs again are brought together, one row per text and task, and told apart by their bytes.
+    hashes = materialise(own.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "dedup-hashes")
+    slots, depth = directory(hashes.select("h"), bits, capacity)
+    again = materialise(hashes.where("rows > 1").select("h"), "dedup-again")
     norm = normalised(F.col("text"))
     rank = F.char_length(F.coalesce("text", F.lit(""))).cast("decimal(12,0)") * F.lit(_ID_SPAN).cast("decimal(21,0)") - F.coalesce(
         F.col("doc_id").cast("decimal(20,0)"), F.lit("10000000000000000000").cast("decimal(20,0)")
     )  # the longest, then the smallest doc_id, as one fixed-width number, so hash aggregation combines it map-side
-    busy, _ = split_by_filter(docs.select("doc_id", "text"), _hash(norm, bits), shared)
-    chained = (
-        busy.select(_hash(norm, bits).alias("h"), norm.alias("norm"), rank.cast("decimal(38,0)").alias("rank"))
-        .groupBy("h", "norm")
-        .agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", "rank", "group_size", F.sha2("norm", 256).alias("digest"))
-        .join(shared, "h", "left_semi")
-    )
+    busy, _ = split_by_filter(docs.select("doc_id", "text"), _hash(norm, bits), again)
+    busy = busy.select(_hash(norm, bits).alias("h"), norm.alias("norm"), rank.cast("decimal(38,0)").alias("rank"), (F.spark_partition_id() % SALTS).alias("salt"))
+    few = busy.groupBy("h", "norm", "salt").agg(F.max("rank").alias("rank"), F.count(F.lit(1)).alias("group_size"))
+    # Owners take ranges of buckets: the entries of a hash are chained there, and equal bytes are one entry.
+    dealt = _placed(few, slots, bits, depth).repartitionByRange("bucket")
+    chained = dealt.groupBy("bucket", "h", "norm").agg(F.max("rank").alias("rank"), F.sum("group_size").alias("group_size")).where("group_size > 1")
     span = F.lit(_ID_SPAN).cast("decimal(38,0)")
     n = F.round(F.col("rank") / span, 0).cast("decimal(38,0)")  # rank = n * span - id, and ids are far smaller than span
     keep = (n * span).cast("decimal(38,0)") - F.col("rank")
     keep = F.when(keep == F.lit("10000000000000000000").cast("decimal(38,0)"), F.lit(None)).otherwise(keep).cast("bigint")
-    single = placed.where("rows = 1").select("h", F.lit(None).cast("string").alias("digest"), "keep_id", F.lit(1).cast("bigint").alias("group_size"))
-    index = chained.select("h", "digest", keep.alias("keep_id"), "group_size").unionByName(single)
-    index = index.withColumn("slot", _prefix(F.col("h"), bits)).join(slots, "slot").select("bucket", "h", "digest", "keep_id", "group_size")
-    return own, materialise(index, "dedup-index")
-
-
-def _chains(index: DataFrame) -> DataFrame:
-    """The index entries of hashes that occur more than once, by digest."""
-    return index.where("digest is not null").select("digest", "keep_id", "group_size")
+    index = chained.select("bucket", "h", F.sha2("norm", 256).alias("digest"), keep.alias("keep_id"), "group_size").sortWithinPartitions("bucket", "h")
+    chains = materialise(index, "dedup-index")
+    release(hashes, again)
+    return Index(own, slots, depth, chains, bits)
 
 
 def report(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY) -> DataFrame:
@@ -124,10 +146,9 @@ def report(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY) -> DataFra
 
     Of repeated rows with one doc_id that survives, each row says kept.
     """
-    own, index = build_index(docs, bits, capacity)
-    chains = _chains(index).withColumn("_found", F.lit(True))
-    found = own.join(chains, "digest", "left")
-    keep = F.when(F.col("_found"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    index = build_index(docs, bits, capacity)
+    found = index.probe(index.own)
+    keep = F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
     return found.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest").alias("text_sha256")
     )
@@ -135,6 +156,7 @@ def report(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY) -> DataFra
 
 def survivors(docs: DataFrame, bits: int = 64, capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; rows without a doc_id stay."""
-    own, index = build_index(docs, bits, capacity)
-    gone = own.join(_chains(index), "digest").where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id")
+    index = build_index(docs, bits, capacity)
+    found = index.probe(index.own).where("group_size is not null")
+    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id")
     return without(docs, materialise(gone, "dedup-dropped"))

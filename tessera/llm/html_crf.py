@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import texts
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
+#: Comments, marked sections, declarations, tags. In a tag, quotes open a value only after an equals sign, and only if they close.
+_token = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*\"|'[^']*')?+|[^<>=])*+)>",
+    re.S,
+)
 _named = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _name_word = re.compile(r"[a-z]+")
 # Fixed values of HTML: elements whose content is no text, elements inside a line, elements without content.
@@ -116,8 +120,7 @@ def blocks(page: str) -> list[Block]:
                 elif stack and stack[-1][0] == "p":
                     stack.pop()
                 words = frozenset(w for m in _named.finditer(match[4]) for w in _name_word.findall((m[2] or m[3] or m[4] or "").lower())) if match[4] else frozenset()
-                if not match[5]:
-                    stack.append((name, words))
+                stack.append((name, words))
         match = _token.search(page, at)
     if at < end:
         held.append(page[at:])

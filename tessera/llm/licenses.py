@@ -2,7 +2,7 @@
 
 The automaton holds every factor of every template, by words. A file streams through it: at each word the
 automaton gives the longest factor that ends there (the matching statistics). Maximal matches of MATCH
-words or more are chained in template order into covered spans; a template that is covered enough, over a chain
+words or more are chained in template order into covered spans, each to any that ended at most GAP words before; a template that is covered enough, over a chain
 without large gaps, gives its label. Words that no template has break every match, so only runs of
 template words are streamed, which leaves the statistics of matches of MATCH words as they are.
 
@@ -53,6 +53,24 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by", "licensed under cc by 4 0"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3", "you may convey verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice"),
+    ("gpl-2", "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl-3", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"),
     ("all-rights-reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
 )
 MATCH = 4
@@ -158,16 +176,18 @@ class Scanner:
                 by.setdefault(number, []).append((start, end, at - (end - start), at))
         best: dict[str, float] = {}
         for number, parts in by.items():
-            parts.sort()
-            size, score = len(self.sequences[number]), []
-            for k, (s, e, a, b) in enumerate(parts):
-                top = e - s
-                for (s2, e2, a2, b2), before in zip(parts[max(0, k - 64) : k], score[max(0, k - 64) : k], strict=True):
-                    if e2 <= s and b2 <= a and s - e2 <= GAP and a - b2 <= GAP:
-                        top = max(top, before + e - s)
-                score.append(top)
+            size, top = len(self.sequences[number]), 0
+            ended: dict[int, list[tuple[int, int]]] = {}  # end in the text -> (end in the template, words covered)
+            for s, e, a, b in sorted(parts):
+                before = 0
+                for at in range(s - GAP, s + 1):
+                    for b2, covered in ended.get(at, ()):
+                        if a - GAP <= b2 <= a and covered > before:
+                            before = covered
+                ended.setdefault(e, []).append((b, before + e - s))
+                top = max(top, before + e - s)
             label = self.labels[number]
-            best[label] = max(best.get(label, 0.0), min(1.0, max(score) / size))
+            best[label] = max(best.get(label, 0.0), min(1.0, top / size))
         return best
 
     def scan(self, text: bytes) -> tuple:

@@ -112,23 +112,23 @@ class Model:
 BUCKETS = 1 << 22
 
 
-def mine(batch: list[str], y: np.ndarray, least: int = 4) -> tuple[list[str], dict[str, list[tuple[int, int]]]]:
+def mine(bags: list[Counter], y: np.ndarray, least: int = 4) -> tuple[list[str], dict[str, list[tuple[int, int]]]]:
     """(units over-represented in toxic texts, most telling first; where each occurs, and how often).
 
-    Of units in the same texts one stays. A first pass counts by hash in a fixed table, so only units
-    that can reach ``least`` toxic texts are counted by name.
+    A bag counts a text's words. Of units in the same texts one stays. A first pass counts by hash in a fixed
+    table, so only units that can reach ``least`` toxic texts are counted by name.
     """
     rough = np.zeros(BUCKETS, np.uint32)
-    for text in (t for t, c in zip(batch, y, strict=True) if c):
-        rough[np.fromiter({zlib.crc32(u.encode()) % BUCKETS for w in set(_words(text)) for u in units(w)}, np.int64)] += 1
+    for bag in (b for b, c in zip(bags, y, strict=True) if c):
+        rough[np.fromiter({zlib.crc32(u.encode()) % BUCKETS for w in bag for u in units(w)}, np.int64)] += 1
     fits = {w for ws in SEEDS.values() for w in ws.split()}
-    for i, text in enumerate(batch):
+    for i, bag in enumerate(bags):
         if y[i]:
-            for w in set(_words(text)):
+            for w in bag:
                 fits.update(u for u in units(w) if rough[zlib.crc32(u.encode()) % BUCKETS] >= least)
     toxic_in, clean_in = Counter(), Counter()
-    for i, text in enumerate(batch):
-        (toxic_in if y[i] else clean_in).update({u for w in set(_words(text)) for u in units(w) if u in fits})
+    for i, bag in enumerate(bags):
+        (toxic_in if y[i] else clean_in).update({u for w in bag for u in units(w) if u in fits})
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     found = []
     for u, t in toxic_in.items():
@@ -138,13 +138,13 @@ def mine(batch: list[str], y: np.ndarray, least: int = 4) -> tuple[list[str], di
     found = sorted(found)[: 6 * MINED]
     wanted = {u for _, u in found} | {w for ws in SEEDS.values() for w in ws.split()}
     where: dict[str, list[tuple[int, int]]] = {}
-    for i, text in enumerate(batch):
-        bag: Counter = Counter()
-        for w, n in Counter(_words(text)).items():
+    for i, bag in enumerate(bags):
+        here: Counter = Counter()
+        for w, n in bag.items():
             for u in units(w):
                 if u in wanted:
-                    bag[u] += n
-        for u, n in bag.items():
+                    here[u] += n
+        for u, n in here.items():
             where.setdefault(u, []).append((i, n))
     kept, taken = [], set()
     for _, u in sorted(found):
@@ -211,17 +211,23 @@ def _logistic(x: np.ndarray, p: np.ndarray, weight: np.ndarray, penalty: float,
     return w, b
 
 
-def fit(batch: list[str], toxic: list[int], weight: list[float]) -> Model:
-    """Fit the model on labelled texts; ``weight`` undoes the sampling of classes."""
+def bag_of(text: str) -> tuple[Counter, list[float]]:
+    """(how often each word stands in a text, the features of its form): what the fit needs of it."""
+    words = _words(text)
+    return Counter(words), form(text, len(words))
+
+
+def fit(made: list[tuple[Counter, list[float]]], toxic: list[int], weight: list[float]) -> Model:
+    """Fit the model on labelled texts, given by ``bag_of``; ``weight`` undoes the sampling of classes."""
     y, weight = np.array(toxic, float), np.array(weight, float)
     seeds = {w: name for name, ws in SEEDS.items() for w in ws.split()}
     if len(y) == 0 or y.min() == y.max():
         strong = {w: (2.5, 0.5) for w, name in seeds.items() if not name.startswith("hostile")}
         return Model(strong, [0.0] * len(PATTERNS), -2.0)
-    shapes = np.array([form(t, len(_words(t))) for t in batch])
-    mined, where = mine(batch, y)
+    shapes = np.array([shape for _, shape in made])
+    mined, where = mine([bag for bag, _ in made], y)
     names = list(dict.fromkeys([*mined, *(s for s in seeds if s in where)]))
-    count = np.zeros((len(batch), len(names)), np.float32)
+    count = np.zeros((len(made), len(names)), np.float32)
     for j, u in enumerate(names):
         for i, n in where[u]:
             count[i, j] = n
@@ -234,15 +240,21 @@ def fit(batch: list[str], toxic: list[int], weight: list[float]) -> Model:
     votes = np.array(voters).T
     prior = float((y * weight).sum() / weight.sum())
     post, _, _ = label_model(votes, weight, prior, anchor=votes.shape[1] - 1)
-    post = 0.5 * post + 0.5 * y  # posterior labels, held to the label voter where the model is torn
     x = np.hstack([count > 0, np.log(np.maximum(count, 1)), shapes]).astype(np.float32)
     w, b = _logistic(x, post, weight, 2e-4)
     k = len(names)
     return Model({u: (float(w[i]), float(w[k + i])) for i, u in enumerate(names)}, [float(v) for v in w[2 * k :]], float(b))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list[str], list[int], list[float]]:
-    """Texts, labels and weights of at most ``per_class`` training rows of each class.
+def _bags(batches):
+    for b in batches:
+        made = [bag_of(t) for t in texts(b.column("text"))]
+        columns = [pa.array([list(bag) for bag, _ in made], pa.list_(pa.string())), pa.array([list(bag.values()) for bag, _ in made], pa.list_(pa.int64())), pa.array([f for _, f in made], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*b.select(["doc_id", "toxic", "weight"]).columns, *columns], ["doc_id", "toxic", "weight", "words", "counts", "form"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list[tuple[Counter, list[float]]], list[int], list[float]]:
+    """``bag_of``, labels and weights of at most ``per_class`` training rows of each class; no text leaves the executors.
 
     Labels without a class, and documents of the held-out fold, are left out; one label per document.
     """
@@ -260,32 +272,37 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
     if not chosen:
         return [], [], []
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, toxic int, weight double"))  # 2 * per_class rows at most
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(picked, "doc_id").orderBy("doc_id").toPandas()
-    return [t or "" for t in rows["text"]], rows["toxic"].tolist(), rows["weight"].tolist()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
+    made = rows.mapInArrow(_bags, "doc_id bigint, toxic int, weight double, words array<string>, counts array<bigint>, form array<double>")
+    table = made.orderBy("doc_id").toArrow()
+    bags = [(Counter(dict(zip(w, n, strict=True))), f) for w, n, f in zip(*(table.column(c).to_pylist() for c in ("words", "counts", "form")), strict=True)]
+    return bags, table.column("toxic").to_pylist(), table.column("weight").to_pylist()
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     return fit(*sample(docs, labels, per_class))
 
 
-def _scored(model_ref):
+def _scored(model_ref, name):
     def run(batches):
         model = model_ref.value
         claim("toxicity", model._seen.clear)
         for b in batches:
             rows = b.num_rows
             got = np.concatenate([np.zeros(0), *(model.score(texts(b.column("text").slice(i, 1000))) for i in range(0, rows, 1000))])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, name])
         trim()
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a column ``_score``."""
+def score(docs: DataFrame, model: Model, name: str = "_score") -> DataFrame:
+    """``docs`` with the score in a column ``name``, which it must not have."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {name} already")
     ref = docs.sparkSession.sparkContext.broadcast(model)  # at most MINED units and the seeds
-    schema = docs.select("*", F.lit(0.0).cast("double").alias("_score")).schema
-    return modest_batches(docs).mapInArrow(_scored(ref), schema)
+    schema = docs.select("*", F.lit(0.0).cast("double").alias(name)).schema
+    return modest_batches(docs).mapInArrow(_scored(ref, name), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> DataFrame:

@@ -97,13 +97,37 @@ def test_exact_dedup(edges, bits):
     assert got == exact_brute(EDGES)
 
 
-def test_directory_splits_only_overfull_buckets():
-    counts = {s: 1 for s in range(8)} | {s: 100 for s in range(4096 - 64, 4096)}
-    found = exact_dedup.directory(counts, capacity=150)
-    size = Counter()
-    for slot, n in counts.items():
-        size[found[slot]] += n
-    assert max(size.values()) <= 150 and len({found[s] for s in range(2048)}) == 1 and len(found) == 4096
+@pytest.mark.parametrize("depth", [None, 0])
+def test_directory_splits_only_overfull_buckets(spark, depth):
+    """12-bit hashes, crowded under one prefix: that prefix splits on, the rest stays in few buckets; no depth is the last."""
+    names = list(range(0, 4096, 512)) + list(range(4096 - 64, 4096))
+    hashes = spark.createDataFrame([(h,) for h in names], "h bigint")
+    found, depth = exact_dedup.directory(hashes, bits=12, capacity=10, depth=depth)
+    rows = {r["slot"]: (r["bucket"], r["local"]) for r in found.collect()}
+    size = Counter(rows[h >> (12 - depth)][0] for h in names)
+    assert max(size.values()) <= 10 and len({rows[h >> (12 - depth)] for h in names[:4]}) == 1
+    assert len({local for _, local in rows.values()}) > 1
+    for slot, (bucket, local) in rows.items():
+        assert bucket >> (depth - local) == slot >> (depth - local)
+
+
+def test_directory_goes_to_the_last_bit(spark):
+    found, depth = exact_dedup.directory(spark.createDataFrame([(h,) for h in range(8)], "h bigint"), bits=20, capacity=1)
+    assert depth == 20 and len({r["bucket"] for r in found.collect()}) == 8
+
+
+def test_lookups_go_through_the_directory(make, monkeypatch):
+    """With the slots of the lookup turned round, rows miss their chains: nothing finds them past the directory."""
+    docs = make([(i, f"text {i // 2}") for i in range(64)])
+    index = exact_dedup.build_index(docs, capacity=2)
+    assert index.probe(index.own).where("group_size = 2").count() == 64
+    assert index.chains.select("bucket").distinct().count() > 8
+    wrong = index.slots.select("slot", (index.slots["bucket"] + 1).alias("bucket"))
+    assert exact_dedup.Index(index.own, wrong, index.depth, index.chains, 64).probe(index.own).where("group_size = 2").count() == 0
+
+
+def test_exact_dedup_of_nothing(nothing):
+    assert exact_dedup.report(nothing).count() == 0 and exact_dedup.survivors(nothing).count() == 0
 
 
 # ---- 3 bpe, 10 packing
@@ -225,9 +249,35 @@ def test_threshold_search(spark):
 def test_threshold_stops_early():
     values = np.zeros((1000, 2), np.int64)
     values[:20] = 100
-    lists = np.argsort(-values, axis=0, kind="stable").T
-    ids, scores, depth = topk.threshold_search(lists, values, np.arange(1000), np.array([3, 5]), -1, 10)
-    assert ids.tolist() == list(range(10)) and depth < 1000
+    ids, scores, scored = topk.threshold_search(topk.Shard(np.arange(1000), values), np.array([3, 5]), -1, 10)
+    assert ids.tolist() == list(range(10)) and scored < 200
+    skewed = np.floor(np.random.default_rng(2).pareto(1.2, (5000, 8)) * 100).astype(np.int64)
+    found = topk.threshold_search(topk.Shard(np.arange(5000), skewed), np.full(8, 7), -1, 10)
+    assert found[0].tolist() == sorted(range(5000), key=lambda i: (-skewed[i].sum(), i))[:10] and found[2] < 1500
+
+
+def test_the_bar_passes_between_shards():
+    """With a bar that no vector of a shard reaches, it is left after few entries of its lists."""
+    values = np.arange(4000).reshape(2000, 2)
+    shard = topk.Shard(np.arange(2000), values)
+    assert topk.threshold_search(shard, np.array([1, 1]), -1, 10, bar=10**6)[2] <= 2 * topk.STEP
+    s = topk.Search(np.array([-1]), [np.array([1, 1])], 10)
+    s.add(np.arange(2000), values / 1024.0 + 50)
+    high = s.scored
+    s.add(np.arange(2000, 4000), values / 1024.0)
+    assert s.scored - high <= 2 * topk.STEP and s.best[0][0].tolist() == list(range(1999, 1989, -1))
+
+
+def test_scores_beyond_a_long(spark):
+    """Components of any finite size: scores are exact where a long can hold them, else the nearest long, ties by vec_id."""
+    rows = [(0, [3e15, 1.0]), (1, [1e300, 1.0]), (2, [1e15, 2.0]), (3, [-1e300, 5.0]), (4, [2.0, 1.5]), (5, [1e301, 0.0]), (6, [1e-300, -7.25])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    from fractions import Fraction
+
+    whole = {i: [(Fraction(c) * 1024).__floor__() for c in v] for i, v in rows}
+    score = {i: max(topk.LEAST, min(topk.MOST, sum(a * b for a, b in zip(whole[0], v, strict=True)))) for i, v in whole.items() if i}
+    want = [(i, score[i]) for i in sorted(score, key=lambda i: (-score[i], i))]
+    assert [(r["vec_id"], r["score"]) for r in topk.report(df).orderBy("rank").collect()] == want
 
 
 # ---- 6 html
