@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, packing, secrets, toxicity
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go; the model learns from the labelled rows outside the held-out fold."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("_score") < 0.5).drop("_score")
+    name = unused(docs, "score")
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: The classifier and the tokenizer can't be expressed in SQL; tests/llm checks run() against a brute-force version.
+#: The classifier and the tokenizer can't be expressed in SQL; tests/llm/test_pipeline.py checks run() against a plain Python version of its stages.
 ORACLE_SQL = None
 
 
