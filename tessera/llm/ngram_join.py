@@ -5,7 +5,8 @@ ones by hash, then frequent ones by how frequent they are. Two sets that link sh
 first n - ceil(0.8 n) + 1 of each, so those shingles are the branches of the tree that owner tasks hold:
 
 1. One pass finds the digest of each set and the frequent shingles (in 1 document of RARE or more; their
-   number is bounded by the mean set size times RARE, whatever the input). Equal sets are one node.
+   number is bounded by the mean set size times RARE, whatever the input). Counts leave out shingles that a block of a million
+   has once, so they are lower bounds; they set the order only, and any order finds all links. Equal sets are one node.
 2. A second pass writes each node's branches. Every node of a branch is paired with the branch's leader, a
    node drawn by hash, so a node in many branches meets many others of its kind at linear cost.
 3. A parity signature (a bit per shingle hash, xor) bounds the symmetric difference from below and drops
@@ -39,7 +40,8 @@ K = 5
 NUM, DEN = 4, 5  # similarity 0.8
 RARE = 5000
 LEAST_FREQUENT = 32
-HOT = 4096  # nodes of a branch that one task pairs up
+HOT = 4096  # nodes of a branch that one task pairs up; the pairs of a larger one are found by a join, and all pairs are verified in tries
+HOT_SETS = 1000  # sets that more than one row in so many has are met by broadcast
 TRIE = 256  # sets in one trie
 
 
@@ -334,7 +336,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = often["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
     ref = spark.sparkContext.broadcast((key[order], np.log2(np.maximum(1, often["n"].to_numpy(np.int64)[order])).astype(np.int64)))
-    nodes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     branches = own.mapInArrow(_second_pass(ref), "doc_id bigint, n int, often int, branches array<bigint>, sig binary, digest binary")
     mine = nodes.select(F.col("node"), F.col("digest").alias("d"))
     branches = materialise(branches.join(mine, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("d")), "left_semi").drop("digest"), "ngram-branches")
@@ -394,7 +396,12 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = materialise(screened(rest).select("a", "b").join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "ngram-rest")
     if rest.take(1):
         roots = merged(roots, rest, sets_of(rest))
-    return rows.join(nodes, "digest", "left"), roots
+    # Sets that a large share of the rows have are few, and met by broadcast; the others don't gather in one task.
+    bar = -(-total // HOT_SETS)
+    hot = F.broadcast(nodes.where(F.col("copies") > bar).withColumn("_hot", F.lit(True)))
+    met = rows.join(hot, "digest", "left")
+    rest = met.where("_hot is null").select(*rows.columns).join(nodes.where(F.col("copies") <= bar), "digest", "left")
+    return met.where("_hot").select(*rows.columns, "node").unionByName(rest.select(*rows.columns, "node")), roots
 
 
 def report(docs: DataFrame) -> DataFrame:

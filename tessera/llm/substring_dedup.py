@@ -11,12 +11,16 @@ hold equal windows, so anchors deal passages to shards.
    another, builds their suffix array, and keeps the Burrows-Wheeler transform in a wavelet tree of packed bits.
    Every passage streams through by backward search: the longest match that still occurs twice ends at each
    tried place (matching statistics), and stretches of WINDOW words or more are reported as intervals.
-3. A mixed anchor with more than HOT distinct passages (a passage in very many contexts) is split: by the half
-   of the context that a window holds, and where that repeats by the window's own hash, combined before the shuffles.
+3. Shards hold whole groups. A group of more than HOT passages (a passage in very many contexts) is split by the context that its
+   windows hold: those that begin further before the anchor hold more words before it, the others more words after it, so each half
+   of them is grouped anew by the words that all of its windows hold, down to single windows. A group that is still larger then
+   has one and the same window in all of its passages.
 4. Intervals go back to their documents, and covered words are removed.
 
-Words, grams, passages and windows are compared by 64-bit hashes inside an anchor's group. Two fixed-size bit
-filters, 4 MB each whatever the input, keep passages of anchors seen once out of the second shuffle.
+Words, grams, passages and windows are compared by 64-bit hashes inside an anchor's group. Two bit filters, sized by
+counts up to a bound (``common.filter_bits``), keep passages of anchors seen once out of the second shuffle.
+
+A row is known by its id and a 64-bit hash of id and text.
 
 Defined results: null or wordless texts have no words and the digest of the empty text; repeated rows
 repeat each other's windows, so they lose them; texts shorter than a window stay; a null doc_id is kept as
@@ -38,9 +42,9 @@ from .words import TABLE, mix
 
 WINDOW, GRAM = 35, 16
 SPAN = WINDOW - GRAM + 1  # grams in a window
-HALF = 10  # windows of a hot anchor are split by whether they hold so many words before it
-HOT = 256
 SHARD = 2048  # passages
+HOT = 2048  # passages of one group that a shard takes whole
+FEW = 100_000  # keys that are broadcast; more are joined by shuffling
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -253,11 +257,8 @@ def repeated_windows(parts: list[np.ndarray]) -> np.ndarray:
     return mask
 
 
-def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    parts = [np.frombuffer(w, np.uint64) for w in pdf["words"]]
-    mask = repeated_windows(parts)
-    full = (np.int64(1) << pdf["windows"].to_numpy(np.int64)) - 1
-    return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "mask": np.where(pdf["copies"] > 1, full, mask)})
+ROW = "anchor bigint, content bigint, windows int, copies bigint, words binary, low int, high int, key bigint"
+MASK = "anchor bigint, content bigint, mask bigint"
 
 
 def _place(words: np.ndarray, anchor: int) -> int:
@@ -266,38 +267,83 @@ def _place(words: np.ndarray, anchor: int) -> int:
     return int(np.flatnonzero(Runs(words).of(at, at + GRAM).view(np.int64) == anchor)[0])
 
 
-def _halves_of(batches):
-    """(anchor, content, copies, words, first, last, hash): each passage's windows in two halves.
+def _range(words: np.ndarray, anchor: int, windows: int, low: int, high: int) -> tuple[int, int]:
+    """[first, last) of the windows that hold ``low`` to ``high`` words before the anchor."""
+    if (low, high) == (0, SPAN - 1):
+        return 0, windows
+    a = _place(words, anchor)
+    return max(0, a - high), min(windows, a - low + 1)
+
+
+def _search(pdf: pd.DataFrame) -> pd.DataFrame:
+    parts, first, count = [], [], []
+    for raw, anchor, windows, low, high in zip(pdf["words"], pdf["anchor"], pdf["windows"], pdf["low"], pdf["high"], strict=True):
+        words = np.frombuffer(raw, np.uint64)
+        a, b = _range(words, anchor, windows, low, high)
+        parts.append(words[a : b - 1 + WINDOW])
+        first.append(a)
+        count.append(b - a)
+    mask = repeated_windows(parts)
+    full = (np.int64(1) << np.array(count, np.int64)) - 1
+    return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "mask": np.where(pdf["copies"] > 1, full, mask) << np.array(first, np.int64)})
+
 
-    Windows that begin HALF words or more before the anchor all hold the HALF words before it, the others all
-    the words up to WINDOW - HALF + 1 after its start; a half whose hash is alone has no repeated window.
-    """
+def _split(batches):
+    """Each row's windows in two halves by the words they hold before the anchor, each with the hash of the words that all of it holds."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    names = [c.split()[0] for c in ROW.split(", ")]
     for batch in small(batches):
-        out: list[list] = [[] for _ in range(7)]
-        for anchor, content, n, copies, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "windows", "copies", "words")), strict=True):
+        out: list[tuple] = []
+        for anchor, content, windows, copies, raw, low, high, _ in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             words = np.frombuffer(raw, np.uint64)
-            a, runs = _place(words, anchor), Runs(words)
-            split = max(0, min(n, a - HALF + 1))  # windows before it begin HALF or more words before the anchor
-            for first, last, low, high in ((0, split, a - HALF, a + GRAM), (split, n, a, a + WINDOW - HALF + 1)):
-                if first < last:
-                    h = int(runs.of(np.array([low]), np.array([high])).view(np.int64)[0])
-                    for col, x in zip(out, (anchor, content, copies, raw, first, last, h), strict=True):
-                        col.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "content", "copies", "words", "first", "last", "half"])
-
-
-def _windows_of(batches):
-    """Each window of the halves: (anchor, content, window, hash, copies)."""
+            a, runs, middle = _place(words, anchor), Runs(words), (low + high + 1) // 2
+            for lo, hi in ((low, middle - 1), (middle, high)):
+                begin, end = _range(words, anchor, windows, lo, hi)
+                if begin < end:
+                    key = runs.of(np.array([a - lo]), np.array([a + WINDOW - hi])) ^ mix(np.array([lo * SPAN + hi], np.uint64))
+                    out.append((anchor, content, windows, copies, raw, lo, hi, int(key.view(np.int64)[0])))
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _same_window(batches):
+    """The masks of rows whose windows, one a row, are known to be equal."""
     for batch in small(batches):
-        out: list[list] = [[] for _ in range(5)]
-        for anchor, content, copies, first, last, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "first", "last", "words")), strict=True):
-            at = np.arange(first, last)
-            h = Runs(np.frombuffer(words, np.uint64)).of(at, at + WINDOW).view(np.int64)
-            for col, x in zip(out, ([anchor] * len(at), [content] * len(at), at.tolist(), h.tolist(), [copies] * len(at)), strict=True):
-                col += x
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["anchor", "content", "w", "hash", "copies"])
+        out = []
+        for anchor, content, windows, low, high, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "windows", "low", "high", "words")), strict=True):
+            first, last = _range(np.frombuffer(raw, np.uint64), anchor, windows, low, high)
+            out.append((anchor, content, ((1 << (last - first)) - 1) << first))
+        columns = zip(*out, strict=True) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "content", "mask"])
+
+
+def _indexed(rows: DataFrame) -> DataFrame:
+    """Masks of the repeated windows of some rows, through one index per shard of whole groups."""
+    shards = max(1, -(-rows.count() // SHARD))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).repartition(min(shards, 20_000), "shard")
+    return dealt.groupBy("shard").applyInPandas(_search, MASK)
+
+
+def _masks(distinct: DataFrame) -> DataFrame:
+    """(anchor, content, mask) of distinct passages of mixed anchors."""
+    now = distinct.select("anchor", "content", "windows", "copies", "words", F.lit(0).alias("low"), F.lit(SPAN - 1).alias("high"), F.col("anchor").alias("key"))
+    found = None
+
+    def add(more):
+        nonlocal found
+        found = more if found is None else found.unionByName(more)
+
+    while True:
+        hot = materialise(now.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+        n = hot.count()
+        if not n:
+            add(_indexed(now))
+            return found
+        hot = F.broadcast(hot) if n <= FEW else hot
+        add(_indexed(now.join(hot, "key", "left_anti")))
+        large = now.join(hot, "key", "left_semi").select(*now.columns)
+        add(large.where("low = high").mapInArrow(_same_window, MASK))
+        now = materialise(large.where("low < high").mapInArrow(_split, ROW), "split")
 
 
 def _removed(batches):
@@ -336,18 +382,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     distinct = (
         found.where("mixed").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.first("windows").alias("windows"), F.max("words").alias("words"))
     )
-    distinct = materialise(distinct, "contents")
-    busy = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
-    dealt = distinct.join(busy, "anchor")
-    shards = max(1, -(-distinct.count() // SHARD))
-    calm = dealt.where(F.col("contexts") <= HOT).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    masks = calm.select("shard", "anchor", "content", "windows", "copies", "words").groupBy("shard").applyInPandas(_search, "anchor bigint, content bigint, mask bigint")
-    halves = dealt.where(F.col("contexts") > HOT).select("anchor", "content", "windows", "copies", "words").mapInArrow(_halves_of, "anchor bigint, content bigint, copies bigint, words binary, first int, last int, half bigint")
-    met = halves.groupBy("half").agg(F.sum("copies").alias("places")).where("places > 1").select("half")
-    each = halves.join(met, "half", "left_semi").select("anchor", "content", "copies", "first", "last", "words").mapInArrow(_windows_of, "anchor bigint, content bigint, w int, hash bigint, copies bigint")
-    twice = each.groupBy("hash").agg(F.sum("copies").alias("places")).where("places > 1").select("hash")
-    split = each.join(twice, "hash", "left_semi").groupBy("anchor", "content").agg(F.expr("bit_or(shiftleft(1L, w))").alias("mask"))
-    masks = materialise(masks.unionByName(split).where("mask <> 0"), "masks")
+    masks = materialise(_masks(materialise(distinct, "contents")).where("mask <> 0"), "masks")
     full = F.expr("shiftleft(1L, windows) - 1")
     same = found.where("not mixed").select("doc_id", "rid", "lo", full.alias("mask"))
     part = found.where("mixed").select("doc_id", "rid", "lo", "anchor", "content").join(masks, ["anchor", "content"]).select("doc_id", "rid", "lo", "mask")
@@ -358,5 +393,5 @@ def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = intervals(own).groupBy("rid").agg(F.collect_list(F.struct("lo", "mask")).alias("found"))
-    return own.join(found, "rid", "left").select("doc_id", "text", "found").mapInArrow(_removed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    found = intervals(own).groupBy(F.col("rid").alias("r"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("lo", "mask")).alias("found"))
+    return own.join(found, (own["rid"] == found["r"]) & own["doc_id"].eqNullSafe(found["d"]), "left").select("doc_id", "text", "found").mapInArrow(_removed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
