@@ -77,7 +77,7 @@ def truncate_at(text: Column, stops: tuple[str, ...]) -> Column:
 
 def percent(x: Column) -> Column:
     """One-decimal percentage, n/a for null."""
-    return F.coalesce(F.format_string("%.1f%%", x * 100), F.lit("n/a"))
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", x * 100)).otherwise(F.lit("n/a"))
 
 
 def last_match(text: Column, pattern: str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,3 +110,16 @@ def cosine_rate(step: Column, base: float, warmup: int, total: int) -> Column:
 def resume_continuous(before: Column, after: Column, tolerance: float = 0.15) -> Column:
     """Whether mean losses before and after a resume agree within ``tolerance``."""
     return F.try_divide(F.abs(after - before), F.abs(before)) <= tolerance
+
+
+def bits_per_character(losses: DataFrame, by: str) -> DataFrame:
+    """(by, n_chars, bits_per_char): summed loss in nats over summed characters, in bits; null without characters."""
+    out = losses.groupBy(by).agg(F.sum("n_chars").alias("n_chars"), F.sum("loss_nats").alias("loss"))
+    return out.select(by, "n_chars", F.try_divide(F.col("loss") / math.log(2), F.col("n_chars")).alias("bits_per_char"))
+
+
+def throughput(steps: DataFrame, by: str, warmup: int = 1) -> DataFrame:
+    """(by, n_steps, tokens, tokens_per_second, median_seconds) of steps (by, step, tokens, seconds) after the first ``warmup``."""
+    timed = steps.where(F.col("step") >= warmup)
+    out = timed.groupBy(by).agg(F.count(F.lit(1)).alias("n_steps"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.median("seconds").alias("median_seconds"))
+    return out.select(by, "n_steps", "tokens", F.try_divide(F.col("tokens"), F.col("seconds")).alias("tokens_per_second"), "median_seconds")

@@ -122,6 +122,36 @@ def ridge_two(rows: DataFrame, x1: str, x2: str, y: str, alpha: float = 10.0, by
     return s.withColumn("b0", F.col("m_y") - F.col("b1") * F.col("m_1") - F.col("b2") * F.col("m_2")).select(*by, "n", "b0", "b1", "b2")
 
 
+def ridge(rows: DataFrame, features: list[str], y: str, alpha: float = 10.0, by: str = "fold_id") -> DataFrame:
+    """(by, feature, coefficient), the intercept as feature "intercept": ridge over any features, the intercept unpenalised.
+
+    One aggregation gives the sums of products of each group; groups are folds, so what is solved on the driver is
+    a matrix of the number of features for each. Rows with a null take no part.
+    """
+    import numpy as np
+
+    k, cols = len(features), [F.col(c).cast("double") for c in (*features, y)]
+    full = rows.where(" and ".join(f"`{c}` is not null" for c in (*features, y)))
+    sums = full.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array(*map(F.sum, cols)).alias("s"), F.array(*(F.sum(cols[i] * cols[j]) for i in range(k + 1) for j in range(i, k + 1))).alias("p"))
+    out = []
+    for r in sums.collect():  # one row per fold
+        mean, prod = np.array(r["s"]) / r["n"], np.zeros((k + 1, k + 1))
+        prod[np.triu_indices(k + 1)] = r["p"]
+        prod = prod + np.triu(prod, 1).T - r["n"] * np.outer(mean, mean)
+        beta = np.linalg.solve(prod[:k, :k] + alpha * np.eye(k), prod[:k, k])
+        out += [(r[by], f, float(b)) for f, b in zip(features, beta, strict=True)] + [(r[by], "intercept", float(mean[k] - mean[:k] @ beta))]
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.sparkSession.createDataFrame(out, f"{by} {kind}, feature string, coefficient double")
+
+
+def ridge_scores(rows: DataFrame, coefficients: DataFrame, features: list[str], by: str = "fold_id") -> DataFrame:
+    """``rows`` with a column ``score``; the coefficients are a row per fold once pivoted."""
+    wide = coefficients.groupBy(by).pivot("feature", [*features, "intercept"]).agg(F.first("coefficient"))
+    wide = wide.select(by, F.array(*(F.col(f"`{f}`") for f in (*features, "intercept"))).alias("_beta"))
+    score = sum((F.col(f) * F.get("_beta", F.lit(i)) for i, f in enumerate(features)), F.get("_beta", F.lit(len(features))))
+    return rows.join(F.broadcast(wide), by).withColumn("score", score).drop("_beta")
+
+
 #: Boosting rounds of the production model.
 TREES = 300
 

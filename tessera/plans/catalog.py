@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import corpus_queries, evidence_queries, panel_queries  # noqa: F401
+    from . import corpus_queries, evidence_queries, panel_queries, record_queries  # noqa: F401
 
 
 load()

@@ -239,3 +239,27 @@ def test_porter_examples():
 
     want = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "rational": "ration", "digitizer": "digit", "hopefulness": "hope", "triplicate": "triplic", "electrical": "electr", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll"}
     assert {w: stem(w) for w in want} == want
+
+
+def test_greedy_follows_long_chains(spark):
+    """In a chain of neighbours every second document falls, however long it is."""
+    from tessera.operators import dedup
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    assert sorted(map(tuple, dedup.greedy(pairs).collect())) == [(i, i - 1) for i in range(1, 61, 2)]
+
+
+def test_the_lexical_index_goes_on_where_it_stopped(spark, tmp_path):
+    """Postings of a batch whose documents were never added don't count, and are written anew; a reset empties the index."""
+    from tessera.operators import index
+
+    docs = spark.createDataFrame([(1, "red fox"), (2, "red red wine"), (3, "")], "doc_id bigint, text string")
+    x = index.LexicalIndex(spark, str(tmp_path / "i"), parts=4)
+    x.grow(docs.where("doc_id = 1"))
+    index.postings(docs.where("doc_id = 2")).selectExpr("*", "1L as batch", "0L as part").write.mode("append").partitionBy("batch", "part").parquet(x.postings)
+    asked = spark.createDataFrame([(0, ["red", "wine"])], "query_id bigint, terms array<string>")
+    assert [r["doc_id"] for r in x.search(asked).collect()] == [1]
+    x.grow(docs)
+    assert sorted(r["doc_id"] for r in x.search(asked).collect()) == [1, 2] and x.documents().count() == 3
+    x.reset()
+    assert x.documents().count() == 0
