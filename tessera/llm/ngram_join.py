@@ -361,7 +361,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def sets_of(found: DataFrame) -> DataFrame:
         """Sets, in the global order, of the nodes of some pairs: a filtered pass over the documents."""
-        ends = found.select(F.col("a").alias("doc_id")).unionAll(found.select("b")).distinct()
+        ends = materialise(found.select(F.col("a").alias("doc_id")).unionAll(found.select("b")).distinct(), "ngram-ends")
         bits = spark.sparkContext.broadcast(bit_filter(ends.select(F.xxhash64("doc_id").alias("h"))))
         sets = own.withColumn("h", F.xxhash64("doc_id")).mapInArrow(_sets(ref, bits), "doc_id bigint, set binary")
         return materialise(sets.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "ngram-sets")
