@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import saved
+
 QUOTE_LEAST, TEXT_MOST, QUOTE_MOST = 24, 400, 1200
+RUN = 4  # words in a row by which a quote finds the documents that may have it
 EXACT, WHITESPACE, FABRICATED, TOO_SHORT = "exact", "whitespace", "fabricated", "too_short"
 
 
@@ -20,12 +23,20 @@ def quote_pattern(quote: Column) -> Column:
     return F.concat(F.lit("(?U)"), F.regexp_replace(escaped, " ", r"\\s+"))
 
 
+def trimmed(quote: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+
+
+def too_short(quote: Column, least: int = QUOTE_LEAST) -> Column:
+    return F.char_length(trimmed(quote)) < least
+
+
 def resolve(document: Column, quote: Column, least: int = QUOTE_LEAST) -> Column:
     """Struct (status, start, end, text): where a quote stands in a document; text is the document's own.
 
     Exact matches first, then matches that differ in white space only; offsets are 0-based code points.
     """
-    q = F.regexp_replace(F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    q = trimmed(quote)
     at = F.instr(document, q) - 1
     # The pattern is tried only where the document has the quote's first two words and its last.
     flat = squeezed(q)
@@ -41,6 +52,28 @@ def resolve(document: Column, quote: Column, least: int = QUOTE_LEAST) -> Column
     )
 
 
+def located(claims: DataFrame, documents: DataFrame, batch: str = "batch") -> DataFrame:
+    """(claim_id, source_id, r): the documents of each claim's batch that have its quote, with the place (``resolve``).
+
+    Inner words of a quote are whole words of a document that has it, so such a document has every run of RUN of them.
+    Each claim goes to the documents of the run that fewest have, and only their texts are searched; quotes too short for
+    a run are searched for in every text of their batch. A claim_id names one claim, a source_id one document of its batch;
+    documents without either are not searched.
+    """
+    fit = claims.where(~too_short(F.col("quote"))).select("claim_id", batch, "quote", F.split(trimmed(F.col("quote")), r"(?U)\s+").alias("w"))
+    mark = F.xxhash64(F.slice("w", F.col("i"), RUN)).alias("mark")
+    runs = fit.where(F.size("w") >= RUN + 2).select("claim_id", batch, "w", F.explode(F.sequence(F.lit(2), F.size("w") - RUN)).alias("i")).select("claim_id", batch, mark)
+    held = documents.select(batch, "source_id", F.split("text", r"(?U)\s+").alias("w")).where(F.size("w") >= RUN)
+    held = held.select(batch, "source_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - RUN + 1)).alias("i")).select(batch, "source_id", mark)
+    held = saved(held.join(runs.select(batch, "mark").distinct(), [batch, "mark"], "left_semi").distinct(), "quote-runs")
+    many = runs.join(held.groupBy(batch, "mark").agg(F.count(F.lit(1)).alias("n")), [batch, "mark"], "left")
+    rarest = many.groupBy("claim_id", batch).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "mark")).alias("m")).select("claim_id", batch, F.col("m.mark").alias("mark"))
+    places = rarest.join(held, [batch, "mark"]).select("claim_id", batch, "source_id")
+    rest = fit.where(F.size("w") < RUN + 2).join(documents.select(batch, "source_id"), batch).select("claim_id", batch, "source_id")
+    tried = places.unionAll(rest).join(fit.select("claim_id", "quote"), "claim_id").join(documents.select(batch, "source_id", "text"), [batch, "source_id"])
+    return tried.select("claim_id", "source_id", resolve(F.col("text"), F.col("quote")).alias("r")).where(F.col("r.status").isin(EXACT, WHITESPACE)).distinct()
+
+
 def resolve_in_batch(claims: DataFrame, documents: DataFrame, batch: str = "batch") -> DataFrame:
     """Resolve each claim (claim_id, batch, quote, preferred) in its batch's documents (batch, source_id, text).
 
@@ -48,17 +81,15 @@ def resolve_in_batch(claims: DataFrame, documents: DataFrame, batch: str = "batc
     as such only where the citation is known.
     """
     known = documents.select(batch, F.col("source_id").alias("preferred")).distinct().withColumn("_known", F.lit(True))
-    claims = claims.join(known, [batch, "preferred"], "left")
-    tried = claims.join(documents, batch, "left").withColumn("r", resolve(F.col("text"), F.col("quote")))
-    ok = F.col("r.status").isin(EXACT, WHITESPACE)
-    order = F.when(ok & F.col("source_id").eqNullSafe(F.col("preferred")), 0).when(ok, 1).otherwise(2)
-    w = Window.partitionBy("claim_id").orderBy(order, "source_id")
-    best = tried.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    short = (F.col("r.status") == TOO_SHORT) & F.coalesce("_known", F.lit(False))
-    status = F.when(ok, F.col("r.status")).when(short, F.lit(TOO_SHORT)).otherwise(F.lit(FABRICATED))
-    return best.select(
-        "claim_id", status.alias("status"), F.when(ok, F.col("source_id")).alias("source_id"), F.when(ok, F.col("r.text")).alias("quote"),
-        (ok & F.coalesce("_known", F.lit(False)) & (F.col("source_id") != F.col("preferred"))).alias("recited"),
+    hits = located(claims, documents, batch).join(claims.select("claim_id", "preferred"), "claim_id")
+    best = hits.groupBy("claim_id").agg(F.min(F.struct((~F.col("source_id").eqNullSafe(F.col("preferred"))).alias("other"), "source_id", "r")).alias("m"))
+    tried = claims.join(known, [batch, "preferred"], "left").join(best, "claim_id", "left")
+    ok = F.col("m").isNotNull()
+    short = too_short(F.col("quote")) & F.coalesce("_known", F.lit(False))
+    status = F.when(ok, F.col("m.r.status")).when(short, F.lit(TOO_SHORT)).otherwise(F.lit(FABRICATED))
+    return tried.select(
+        "claim_id", status.alias("status"), F.col("m.source_id").alias("source_id"), F.col("m.r.text").alias("quote"),
+        (ok & F.coalesce("_known", F.lit(False)) & (F.col("m.source_id") != F.col("preferred"))).alias("recited"),
     )
 
 

@@ -240,7 +240,6 @@ def make_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.make_id(F.col("source"), F.col("lang"), F.lit(None).cast("string")).alias("id"))
 
 
-PERMS = 32
 W9 = f"list_filter(string_split_regex({NORM}, '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
 SHINGLES = f"sh as (select doc_id, source, {W9} w from documents), sx as (select doc_id, source, list_distinct(list_transform(range(1, len(w) - 7), lambda i: array_to_string(w[i:i+8], ' '))) s from sh)"
 
@@ -255,11 +254,11 @@ def _sig_sql(perms):
     return f"{SHINGLES}, ab as (select doc_id, source, ('0x' || substr(md5(x), 1, 15))::bigint & {M50} a, ('0x' || substr(md5(x), 17, 15))::bigint & {M50} b from (select doc_id, source, unnest(s) x from sx)), hs as (select doc_id, source, i, min((a + i * b) & {M50}) m from ab cross join (select unnest(range({perms})) i) group by 1, 2, 3), sg as (select doc_id, source, list(m order by i) sig from hs group by 1, 2)"
 
 
-SIG = _sig_sql(PERMS)
+SIG = _sig_sql(D.PERMUTATIONS)
 
 
 def _sigs(spark, sf_dir):
-    return D.signatures(table(spark, sf_dir, "documents"), "source", permutations=PERMS)
+    return D.signatures(table(spark, sf_dir, "documents"), "source")
 
 
 @query("minhash_signature", f"with {SIG} select doc_id, array_to_string(sig, ',') sig from sg")
@@ -272,17 +271,17 @@ def _band_sql(perms, bands):
     return f"{_sig_sql(perms)}, bd as (select doc_id, source, b, array_to_string(sig[b*{rows}+1:b*{rows}+{rows}], ',') h from sg cross join (select unnest(range({bands})) b)), cand as (select distinct x.source, x.doc_id a, y.doc_id b from bd x join bd y on x.source = y.source and x.b = y.b and x.h = y.h and x.doc_id < y.doc_id), ver as (select c.source, a, b, len(list_filter(list_zip(s1.sig, s2.sig), lambda z: z[1] = z[2])) / {perms} sim from cand c join sg s1 on s1.doc_id = a join sg s2 on s2.doc_id = b)"
 
 
-BAND = _band_sql(PERMS, 8)
+BAND = _band_sql(D.PERMUTATIONS, D.BANDS)
 
 
 def _pairs(spark, sf_dir):
     s = _sigs(spark, sf_dir)
-    return D.verified(D.candidates(s, "source", bands=8), s)
+    return D.verified(D.candidates(s, "source"), s)
 
 
 @query("lsh_candidates", f"with {BAND} select source, a, b from cand")
 def lsh_candidates(spark, sf_dir):
-    return D.candidates(_sigs(spark, sf_dir), "source", bands=8)
+    return D.candidates(_sigs(spark, sf_dir), "source")
 
 
 @query("minhash_pairs", f"with {BAND} select source, a, b, round(sim, 6) similarity from ver where sim >= 0.8")
@@ -299,40 +298,6 @@ def greedy_dedup(spark, sf_dir):
     return D.greedy(_pairs(spark, sf_dir))
 
 
-# The same at the operators' own size, 128 hashes in 16 bands.
-
-SIG_FULL, BAND_FULL = _sig_sql(D.PERMUTATIONS), _band_sql(D.PERMUTATIONS, D.BANDS)
-
-
-def _sigs_full(spark, sf_dir):
-    return D.signatures(table(spark, sf_dir, "documents"), "source")
-
-
-def _pairs_full(spark, sf_dir):
-    s = _sigs_full(spark, sf_dir)
-    return D.verified(D.candidates(s, "source"), s)
-
-
-@query("minhash_signature_full", f"with {SIG_FULL} select doc_id, array_to_string(sig, ',') sig from sg")
-def minhash_signature_full(spark, sf_dir):
-    return _sigs_full(spark, sf_dir).select("doc_id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("sig"))
-
-
-@query("lsh_candidates_full", f"with {BAND_FULL} select source, a, b from cand")
-def lsh_candidates_full(spark, sf_dir):
-    return D.candidates(_sigs_full(spark, sf_dir), "source")
-
-
-@query("minhash_pairs_full", f"with {BAND_FULL} select source, a, b, round(sim, 6) similarity from ver where sim >= 0.8")
-def minhash_pairs_full(spark, sf_dir):
-    return _pairs_full(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("greedy_dedup_full", _greedy_sql(BAND_FULL))
-def greedy_dedup_full(spark, sf_dir):
-    return D.greedy(_pairs_full(spark, sf_dir))
-
-
 # ---- chunks
 
 @query("chunk_offsets")

@@ -26,21 +26,28 @@ def _quotes(spark, sf_dir):
     return b, table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("batch"), "text")
 
 
+def _located(b, d):
+    return E.located(b.select(F.col("item_id").alias("claim_id"), "batch", F.col("q").alias("quote")), d.select("batch", F.col("doc_id").alias("source_id"), "text"))
+
+
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
 @query("quote_resolve", f"with {QUOTES} select item_id, doc_id, case when length(trim(q)) < 24 then 'too_short' when contains(text, trim(q)) then 'exact' when contains({SQUEEZE.format('text')}, {SQUEEZE.format('q')}) then 'whitespace' else 'fabricated' end status, case when length(trim(q)) >= 24 and contains(text, trim(q)) then cast(strpos(text, trim(q)) - 1 as integer) end exact_start from b join d using (batch)")
 def quote_resolve(spark, sf_dir):
+    """Every item beside every document of its language; texts are read for the ones that may hold the quote only."""
     b, d = _quotes(spark, sf_dir)
-    r = b.join(d, "batch").withColumn("r", E.resolve(F.col("text"), F.col("q")))
-    return r.select("item_id", "doc_id", "r.status", F.when(F.col("r.status") == "exact", F.col("r.start")).alias("exact_start"))
+    found = _located(b, d).select(F.col("claim_id").alias("item_id"), F.col("source_id").alias("doc_id"), "r")
+    r = b.select("item_id", "batch", E.too_short(F.col("q")).alias("short")).join(d.select("doc_id", "batch"), "batch").join(found, ["item_id", "doc_id"], "left")
+    status = F.when(F.col("short"), F.lit(E.TOO_SHORT)).otherwise(F.coalesce("r.status", F.lit(E.FABRICATED)))
+    return r.select("item_id", "doc_id", status.alias("status"), F.when(F.col("r.status") == "exact", F.col("r.start")).alias("exact_start"))
 
 
 @query("quote_span_check", "select cast(0 as bigint) n_wrong")
 def quote_span_check(spark, sf_dir):
     """Located spans read back from the document: none differs from the returned text."""
     b, d = _quotes(spark, sf_dir)
-    r = b.join(d, "batch").withColumn("r", E.resolve(F.col("text"), F.col("q"))).where("r.start is not null")
+    r = _located(b, d).join(d.select(F.col("doc_id").alias("source_id"), "text"), "source_id")
     wrong = F.substring(F.col("text"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start")) != F.col("r.text")
     return r.agg(F.count_if(wrong).alias("n_wrong"))
 
@@ -310,27 +317,16 @@ def _mask_sums(lengths):
     return m.select("conv_id", F.size("mask").alias("n_ids"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_trained"))
 
 
-@query("sft_mask_lengths", f"with {SFT}, m as (select conv_id, least(p, 64) kp, least(k, 64 - least(p, 64)) kc from c) select conv_id, cast(kp as bigint) kept_prompt, cast(kc as bigint) kept_completion from m where kc > 0")
+@query("sft_mask_lengths", f"with {SFT}, m as (select conv_id, least(p, 4096) kp, least(k, 4096 - least(p, 4096)) kc from c) select conv_id, cast(kp as bigint) kept_prompt, cast(kc as bigint) kept_completion from m where kc > 0")
 def sft_mask_lengths(spark, sf_dir):
-    """Cut at 64 tokens, so that the cut meets most examples; ``sft_mask_lengths_full`` has the training length."""
-    return N.masks(_sft_examples(spark, sf_dir), 64).select("conv_id", "kept_prompt", "kept_completion")
+    return N.masks(_sft_examples(spark, sf_dir)).select("conv_id", "kept_prompt", "kept_completion")
 
 
-@query("sft_mask_sums", f"with {SFT}, m as (select conv_id, least(p, 64) kp, least(k, 64 - least(p, 64)) kc from c) select conv_id, cast(kp + kc as integer) n_ids, cast(kc as integer) n_trained from m where kc > 0")
+@query("sft_mask_sums", f"with {SFT}, m as (select conv_id, least(p, 4096) kp, least(k, 4096 - least(p, 4096)) kc from c) select conv_id, cast(kp + kc as integer) n_ids, cast(kc as integer) n_trained from m where kc > 0")
 def sft_mask_sums(spark, sf_dir):
     return _mask_sums(sft_mask_lengths(spark, sf_dir))
 
 
-@query("sft_mask_lengths_full", f"with {SFT}, m as (select conv_id, least(p, 4096) kp, least(k, 4096 - least(p, 4096)) kc from c) select conv_id, cast(kp as bigint) kept_prompt, cast(kc as bigint) kept_completion from m where kc > 0")
-def sft_mask_lengths_full(spark, sf_dir):
-    return N.masks(_sft_examples(spark, sf_dir)).select("conv_id", "kept_prompt", "kept_completion")
-
-
-@query("sft_mask_sums_full", f"with {SFT}, m as (select conv_id, least(p, 4096) kp, least(k, 4096 - least(p, 4096)) kc from c) select conv_id, cast(kp + kc as integer) n_ids, cast(kc as integer) n_trained from m where kc > 0")
-def sft_mask_sums_full(spark, sf_dir):
-    return _mask_sums(sft_mask_lengths_full(spark, sf_dir))
-
-
 @query("interleave_schedule", "select event_id batch_no, case when (event_id + 1) % 4 = 0 then ((event_id + 1) // 4 - 1) % 7 end sft_example from events")
 def interleave_schedule(spark, sf_dir):
     return N.interleave(table(spark, sf_dir, "events").select(F.col("event_id").alias("batch_no")), 7, 0.25)

@@ -13,9 +13,9 @@ def test_sft_masks_at_training_length(spark, tmp_path):
     say = lambda conv, *turns: [(conv, i, role, "w " * n) for i, (role, n) in enumerate(turns)]
     rows = say(1, ("user", 100), ("assistant", 30)) + say(2, ("system", 4), ("user", 4086), ("assistant", 10)) + say(3, ("user", 4096), ("assistant", 10)) + say(4, ("user", 10), ("assistant", 5000))
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {tuple(r) for r in catalog.QUERIES["sft_mask_lengths_full"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in catalog.QUERIES["sft_mask_lengths"](spark, str(tmp_path)).collect()}
     assert training.SEQ_LEN == 4096 and got == {(1, 100, 30), (2, 4090, 6), (4, 10, 4086)}
-    assert {tuple(r) for r in catalog.QUERIES["sft_mask_sums_full"](spark, str(tmp_path)).collect()} == {(1, 130, 30), (2, 4096, 6), (4, 4096, 4086)}
+    assert {tuple(r) for r in catalog.QUERIES["sft_mask_sums"](spark, str(tmp_path)).collect()} == {(1, 130, 30), (2, 4096, 6), (4, 4096, 4086)}
 
 
 def test_minhash_queries_use_the_whole_signature(spark, tmp_path):
@@ -47,10 +47,10 @@ def test_minhash_queries_use_the_whole_signature(spark, tmp_path):
         kept += [] if reps else [n]
     run = lambda name: {tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()}
     assert close and close < same.keys()
-    assert run("minhash_signature_full") == {(i, ",".join(map(str, s))) for i, s in sigs.items()}
-    assert run("lsh_candidates_full") == cand
-    assert {(r["a"], r["b"], r["similarity"]) for r in catalog.QUERIES["minhash_pairs_full"](spark, str(tmp_path)).collect()} == {(a, b, round(same[a, b], 6)) for a, b in close}
-    assert {(r["doc"], r["rep"]) for r in catalog.QUERIES["greedy_dedup_full"](spark, str(tmp_path)).collect()} == dropped
+    assert run("minhash_signature") == {(i, ",".join(map(str, s))) for i, s in sigs.items()}
+    assert run("lsh_candidates") == cand
+    assert {(r["a"], r["b"], r["similarity"]) for r in catalog.QUERIES["minhash_pairs"](spark, str(tmp_path)).collect()} == {(a, b, round(same[a, b], 6)) for a, b in close}
+    assert {(r["doc"], r["rep"]) for r in catalog.QUERIES["greedy_dedup"](spark, str(tmp_path)).collect()} == dropped
 
 
 def test_boosting_has_all_features_and_trees(spark, monkeypatch):
