@@ -275,12 +275,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
     made = rows.mapInArrow(_bags, "doc_id bigint, toxic int, weight double, words array<string>, counts array<bigint>, form array<double>")
     table = made.orderBy("doc_id").toArrow()
-    bags = [(Counter(dict(zip(w, n, strict=True))), f) for w, n, f in zip(*(table.column(c).to_pylist() for c in ("words", "counts", "form")), strict=True)]
+    bags, one = [], {}  # each distinct word is held once
+    for part in table.select(["words", "counts", "form"]).to_batches(max_chunksize=100):
+        for w, n, f in zip(*(part.column(c).to_pylist() for c in ("words", "counts", "form")), strict=True):
+            bags.append((Counter({one.setdefault(x, x): k for x, k in zip(w, n, strict=True)}), f))
     return bags, table.column("toxic").to_pylist(), table.column("weight").to_pylist()
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
-    return fit(*sample(docs, labels, per_class))
+    model = fit(*sample(docs, labels, per_class))
+    trim()  # the sample's memory, on the driver
+    return model
 
 
 def _scored(model_ref, name):
