@@ -110,45 +110,97 @@ class Model:
 
 
 BUCKETS = 1 << 22
-
-
-def mine(bags: list[Counter], y: np.ndarray, least: int = 4) -> tuple[list[str], dict[str, list[tuple[int, int]]]]:
-    """(units over-represented in toxic texts, most telling first; where each occurs, and how often).
-
-    A bag counts a text's words. Of units in the same texts one stays. A first pass counts by hash in a fixed
-    table, so only units that can reach ``least`` toxic texts are counted by name.
+BLOCK = 500  # texts of the sample that the label model's sums take at once
+
+
+class Bags:
+    """What the fit needs of texts: distinct words, and of each text the words it has (by number), how often, and its form."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.words: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.shapes: list[list[float]] = []
+
+    def __len__(self) -> int:
+        return len(self.shapes)
+
+    def add(self, part: pa.RecordBatch) -> None:
+        """Take the rows of ``part`` (words, counts, form), as ``_bags`` makes them."""
+        if not part.num_rows:
+            return
+        words, counts = part.column("words"), part.column("counts")
+        coded = words.flatten().dictionary_encode()
+        own = np.array([self.number.setdefault(w, len(self.number)) for w in coded.dictionary.to_pylist()], np.int32)
+        ends = np.cumsum([0, *words.value_lengths().to_pylist()])[1:-1]
+        at = own[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else own
+        self.words += np.split(at, ends)
+        self.counts += np.split(counts.flatten().to_numpy().astype(np.int32), ends)
+        self.shapes += part.column("form").to_pylist()
+
+    def named(self, name_of) -> np.ndarray:
+        """A row for each distinct word with ``name_of`` each of its units, -1 where it has fewer."""
+        out = np.full((len(self.number), END - BEGIN + 2), -1, np.int32)
+        for w, i in self.number.items():
+            got = [name_of(u) for u in units(w)]
+            out[i, : len(got)] = got
+        return out
+
+
+def _distinct(table: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The distinct numbers of units, -1 aside, that some words have by ``table``."""
+    found = np.unique(table[words])
+    return found[np.searchsorted(found, 0) :]
+
+
+def mine(bags: Bags, y: np.ndarray, least: int = 4) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """(units over-represented in toxic texts, most telling first; in which texts each occurs, and how often).
+
+    Of units in the same texts one stays. A first pass counts by hash in a fixed table, so only units that can
+    reach ``least`` toxic texts are counted by name.
     """
-    rough = np.zeros(BUCKETS, np.uint32)
-    for bag in (b for b, c in zip(bags, y, strict=True) if c):
-        rough[np.fromiter({zlib.crc32(u.encode()) % BUCKETS for w in bag for u in units(w)}, np.int64)] += 1
-    fits = {w for ws in SEEDS.values() for w in ws.split()}
-    for i, bag in enumerate(bags):
-        if y[i]:
-            for w in bag:
-                fits.update(u for u in units(w) if rough[zlib.crc32(u.encode()) % BUCKETS] >= least)
-    toxic_in, clean_in = Counter(), Counter()
-    for i, bag in enumerate(bags):
-        (toxic_in if y[i] else clean_in).update({u for w in bag for u in units(w) if u in fits})
+    table = bags.named(lambda u: zlib.crc32(u.encode()) % BUCKETS)
+    rough = np.zeros(BUCKETS, np.uint16 if len(y) < 1 << 16 else np.uint32)
+    seen = np.zeros(len(table), bool)
+    for words, c in zip(bags.words, y, strict=True):
+        if c:
+            rough[_distinct(table, words)] += 1
+            seen[words] = True
+    table = (table >= 0) & (rough[table] >= least) & seen[:, None]
+    del rough
+    seeds = [w for ws in SEEDS.values() for w in ws.split()]
+    fits = {u: i for i, u in enumerate(dict.fromkeys(seeds))}
+    for w, i in bags.number.items():
+        if table[i].any():
+            for u, ok in zip(units(w), table[i], strict=False):
+                if ok:
+                    fits.setdefault(u, len(fits))
+    table = bags.named(lambda u: fits.get(u, -1))
+    held = np.zeros((2, len(fits)), np.int64)
+    for words, c in zip(bags.words, y, strict=True):
+        held[int(c), _distinct(table, words)] += 1
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    found = []
-    for u, t in toxic_in.items():
-        lift = np.log((t + 0.5) / (n1 + 1)) - np.log((clean_in[u] + 0.5) / (n0 + 1))
-        if t >= least and lift > 1.2:
-            found.append((-t * lift, u))
-    found = sorted(found)[: 6 * MINED]
-    wanted = {u for _, u in found} | {w for ws in SEEDS.values() for w in ws.split()}
-    where: dict[str, list[tuple[int, int]]] = {}
-    for i, bag in enumerate(bags):
-        here: Counter = Counter()
-        for w, n in bag.items():
-            for u in units(w):
-                if u in wanted:
-                    here[u] += n
-        for u, n in here.items():
-            where.setdefault(u, []).append((i, n))
+    lift = np.log((held[1] + 0.5) / (n1 + 1)) - np.log((held[0] + 0.5) / (n0 + 1))
+    names = list(fits)
+    found = sorted((-held[1, i] * lift[i], names[i]) for i in np.flatnonzero((held[1] >= least) & (lift > 1.2)))[: 6 * MINED]
+    wanted = {u: i for i, u in enumerate(dict.fromkeys([*(u for _, u in found), *seeds]))}
+    del fits, names
+    table = bags.named(lambda u: wanted.get(u, -1))
+    unit, text, often = [], [], []
+    for i, (words, counts) in enumerate(zip(bags.words, bags.counts, strict=True)):
+        at = table[words]
+        total = np.bincount(at[at >= 0], np.repeat(counts, at.shape[1])[at.ravel() >= 0], len(wanted))
+        here = np.flatnonzero(total)
+        unit.append(here.astype(np.int32))
+        text.append(np.full(len(here), i, np.int32))
+        often.append(total[here].astype(np.int32))
+    unit, text, often = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (unit, text, often))
+    order = np.argsort(unit, kind="stable")
+    edge = np.searchsorted(unit[order], np.arange(len(wanted) + 1))
+    where = {u: (text[order[edge[i] : edge[i + 1]]], often[order[edge[i] : edge[i + 1]]]) for u, i in wanted.items() if edge[i] < edge[i + 1]}
     kept, taken = [], set()
-    for _, u in sorted(found):
-        key = tuple(i for i, _ in where[u])
+    for _, u in found:
+        key = where[u][0].tobytes()
         if key not in taken:
             taken.add(key)
             kept.append(u)
@@ -165,16 +217,20 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
     lean = votes[:, anchor] if anchor is not None else votes.sum(1)
     post = np.clip(np.where(lean > 0, 0.9, np.where(lean < 0, 0.1, prior)), 0.02, 0.98)
     share = np.ones(m)
+    blocks = [slice(low, low + BLOCK) for low in range(0, n, BLOCK)]  # so that no table of floats is as large as the votes
     for step in range(rounds):
-        freq = np.empty((2, m, 3))
-        for c, p in enumerate((1 - post, post)):
-            w = p * weight
+        by_class = np.stack([(1 - post) * weight, post * weight])
+        freq = np.ones((2, m, 3))
+        for b in blocks:
             for k, v in enumerate((-1, 0, 1)):
-                freq[c, :, k] = (((votes == v) * w[:, None]).sum(0) + 1.0) / (w.sum() + 3.0)
+                freq[:, :, k] += by_class[:, b] @ (votes[b] == v)
+        freq /= (by_class.sum(1) + 3.0)[:, None, None]
         if step in (5, 15):  # correlation left once the class is known
-            mean = post[:, None] * (freq[1, :, 2] - freq[1, :, 0]) + (1 - post)[:, None] * (freq[0, :, 2] - freq[0, :, 0])
-            rest = (votes - mean) * np.sqrt(weight)[:, None]
-            cov = rest.T @ rest
+            cov = np.zeros((m, m))
+            for b in blocks:
+                mean = post[b, None] * (freq[1, :, 2] - freq[1, :, 0]) + (1 - post[b])[:, None] * (freq[0, :, 2] - freq[0, :, 0])
+                rest = (votes[b] - mean) * np.sqrt(weight[b])[:, None]
+                cov += rest.T @ rest
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             corr = np.abs(cov / np.outer(scale, scale))
             corr[corr < 0.1] = 0
@@ -184,8 +240,9 @@ def label_model(votes: np.ndarray, weight: np.ndarray, prior: float, rounds: int
                 share[anchor] = 1
         gain = np.log(freq[1]) - np.log(freq[0])
         z = np.full(n, np.log(prior / (1 - prior)))
-        for k, v in enumerate((-1, 0, 1)):
-            z += ((votes == v) * (share * gain[:, k])).sum(1)
+        for b in blocks:
+            for k, v in enumerate((-1, 0, 1)):
+                z[b] += (votes[b] == v) @ (share * gain[:, k])
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     accuracy = freq[1, :, 2] * prior / np.maximum(1e-9, freq[1, :, 2] * prior + freq[0, :, 2] * (1 - prior))
     return post, accuracy, share
@@ -217,20 +274,21 @@ def bag_of(text: str) -> tuple[Counter, list[float]]:
     return Counter(words), form(text, len(words))
 
 
-def fit(made: list[tuple[Counter, list[float]]], toxic: list[int], weight: list[float]) -> Model:
-    """Fit the model on labelled texts, given by ``bag_of``; ``weight`` undoes the sampling of classes."""
+def fit(bags: Bags, toxic: list[int], weight: list[float]) -> Model:
+    """Fit the model on labelled texts, given by their bags; ``weight`` undoes the sampling of classes."""
     y, weight = np.array(toxic, float), np.array(weight, float)
     seeds = {w: name for name, ws in SEEDS.items() for w in ws.split()}
     if len(y) == 0 or y.min() == y.max():
         strong = {w: (2.5, 0.5) for w, name in seeds.items() if not name.startswith("hostile")}
         return Model(strong, [0.0] * len(PATTERNS), -2.0)
-    shapes = np.array([shape for _, shape in made])
-    mined, where = mine([bag for bag, _ in made], y)
+    shapes = np.array(bags.shapes)
+    mined, where = mine(bags, y)
     names = list(dict.fromkeys([*mined, *(s for s in seeds if s in where)]))
-    count = np.zeros((len(made), len(names)), np.float32)
+    count = np.zeros((len(bags), len(names)), np.float32)
     for j, u in enumerate(names):
-        for i, n in where[u]:
-            count[i, j] = n
+        rows, often = where[u]
+        count[rows, j] = often
+    del where
     at = {u: j for j, u in enumerate(names)}
     voters = [(count[:, [at[w] for w in ws.split() if w in at]].sum(1) > 0).astype(np.int8) for ws in SEEDS.values()]
     voters += list((count > 0).astype(np.int8).T)
@@ -240,9 +298,11 @@ def fit(made: list[tuple[Counter, list[float]]], toxic: list[int], weight: list[
     votes = np.array(voters).T
     prior = float((y * weight).sum() / weight.sum())
     post, _, _ = label_model(votes, weight, prior, anchor=votes.shape[1] - 1)
-    x = np.hstack([count > 0, np.log(np.maximum(count, 1)), shapes]).astype(np.float32)
-    w, b = _logistic(x, post, weight, 2e-4)
     k = len(names)
+    x = np.empty((len(bags), 2 * k + shapes.shape[1]))
+    x[:, :k], x[:, k : 2 * k], x[:, 2 * k :] = count > 0, np.log(np.maximum(count, 1)), shapes
+    del count, votes, voters
+    w, b = _logistic(x, post, weight, 2e-4)
     return Model({u: (float(w[i]), float(w[k + i])) for i, u in enumerate(names)}, [float(v) for v in w[2 * k :]], float(b))
 
 
@@ -253,8 +313,8 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays([*b.select(["doc_id", "toxic", "weight"]).columns, *columns], ["doc_id", "toxic", "weight", "words", "counts", "form"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[list[tuple[Counter, list[float]]], list[int], list[float]]:
-    """``bag_of``, labels and weights of at most ``per_class`` training rows of each class; no text leaves the executors.
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple[Bags, list[int], list[float]]:
+    """Bags, labels and weights of at most ``per_class`` training rows of each class; no text leaves the executors.
 
     Labels without a class, and documents of the held-out fold, are left out; one label per document.
     """
@@ -270,15 +330,14 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> tuple
         rows = train.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()
         chosen += [(r["doc_id"], c, totals[c] / len(rows)) for r in rows]
     if not chosen:
-        return [], [], []
+        return Bags(), [], []
     picked = F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, toxic int, weight double"))  # 2 * per_class rows at most
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id")
     made = rows.mapInArrow(_bags, "doc_id bigint, toxic int, weight double, words array<string>, counts array<bigint>, form array<double>")
     table = made.orderBy("doc_id").toArrow()
-    bags, one = [], {}  # each distinct word is held once
+    bags = Bags()
     for part in table.select(["words", "counts", "form"]).to_batches(max_chunksize=100):
-        for w, n, f in zip(*(part.column(c).to_pylist() for c in ("words", "counts", "form")), strict=True):
-            bags.append((Counter({one.setdefault(x, x): k for x, k in zip(w, n, strict=True)}), f))
+        bags.add(part)
     return bags, table.column("toxic").to_pylist(), table.column("weight").to_pylist()
 
 

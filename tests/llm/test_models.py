@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import html_crf, licenses, toxicity
@@ -201,3 +202,41 @@ def test_licences_against_plain_chains(make):
             labels, score = plain_scan(t or "")
         want[(i, ",".join(sorted(labels)), round(score, 9))] += 1
     assert got == want
+
+
+def test_mine_against_plain_counts():
+    toxic_texts = ["you stupid idiot", "stupidly idiotic trash trash", "stupid trash", "stupidity", "", "trash idiot stupid"]
+    clean_texts = ["a calm day", "the bright garden", "", "stupendous calm day", "a day"]
+    bags, all_texts = toxicity.Bags(), toxic_texts + clean_texts
+    made = [toxicity.bag_of(t) for t in all_texts]
+    for low in (0, 4, 11):  # two parts, and one without rows
+        some = made[low : {0: 4, 4: 11, 11: 11}[low]]
+        columns = [pa.array([list(b) for b, _ in some], pa.list_(pa.string())), pa.array([list(b.values()) for b, _ in some], pa.list_(pa.int64())), pa.array([f for _, f in some], pa.list_(pa.float64()))]
+        bags.add(pa.RecordBatch.from_arrays(columns, ["words", "counts", "form"]))
+    y = np.array([1.0] * len(toxic_texts) + [0.0] * len(clean_texts))
+    kept, where = toxicity.mine(bags, y, least=2)
+    plain = {}
+    for i, (bag, _) in enumerate(made):
+        for w, n in bag.items():
+            for u in toxicity.units(w):
+                plain.setdefault(u, {}).setdefault(i, 0)
+                plain[u][i] += n
+    scores = []
+    for u, at in plain.items():
+        t, c = sum(y[i] == 1 for i in at), sum(y[i] == 0 for i in at)
+        lift = np.log((t + 0.5) / 7) - np.log((c + 0.5) / 6)
+        if t >= 2 and lift > 1.2:
+            scores.append((-t * lift, u))
+    want, seen = [], set()
+    for _, u in sorted(scores):
+        if tuple(plain[u]) not in seen:
+            seen.add(tuple(plain[u]))
+            want.append(u)
+    assert kept == want and "tras*" in kept and "trash" not in kept
+    assert all(dict(zip(*(x.tolist() for x in where[u]), strict=True)) == plain[u] for u in where)
+
+
+def test_fit_without_labelled_documents(spark):
+    docs = spark.createDataFrame([(1, "you idiot")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100, 140)], "doc_id bigint, toxic int")
+    assert [r["predicted"] for r in toxicity.report(docs, labels).collect()] == [1]
