@@ -63,12 +63,13 @@ def unused(df: DataFrame, *stems: str):
     return found[0] if len(found) == 1 else found
 
 
-def modest_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Keep Arrow batches to so many rows in this session: texts are long, and an executor holds several batches off its heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def modest_batches(df: DataFrame, rows: int = 1000, size: int = 8 << 20) -> DataFrame:
+    """Keep Arrow batches to so many rows and about so many bytes in this session: texts are long, and an executor holds several batches off its heap."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= rows:
-        conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, claim, materialise, may_hold, modest_batches, small, utf8, without
+from .common import bit_filter, claim, materialise, may_hold, modest_batches, small, trim, utf8, without
 from .components import components
 from .words import TABLE, grams
 
@@ -95,6 +95,8 @@ def _first_pass(batches):
             yield from flush()
             parts, held = [], 0
     yield from flush()
+    parts = []
+    trim()
 
 
 def _ordered(s: np.ndarray, heavy: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, int]:
@@ -139,13 +141,14 @@ def _second_pass(ref):
                 n = len(s)
                 if n and doc is not None:
                     order, often = _ordered(s, heavy, level)
-                    rows.append((doc, n, often, order[: n + (-NUM * n // DEN) + 1].view(np.int64), parity(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
+                    rows.append((doc, n, often, order[: n + (-NUM * n // DEN) + 1].view(np.int64).copy(), parity(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
             if rows:
                 d, n, o, b, p, g = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(d, pa.int64()), pa.array(n, pa.int32()), pa.array(o, pa.int32()), pa.array(b, pa.list_(pa.int64())), pa.array(p, pa.binary()), pa.array(g, pa.binary())],
                     ["doc_id", "n", "often", "branches", "sig", "digest"],
                 )
+        trim()
 
     return run
 
@@ -225,6 +228,9 @@ def _pair_up(batches):
     if rest is not None:
         walk(pa.Table.from_batches([rest]))
     yield out()
+    rest = None
+    found.clear()
+    trim()
 
 
 def _may_link(batches):
@@ -247,6 +253,7 @@ def _sets(ref, ends):
             batch = batch.filter(pa.array(keep))
             made = [_ordered(shingles(t), heavy, level)[0].astype("<u8").tobytes() for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "set"])
+        trim()
 
     return run
 
@@ -311,6 +318,8 @@ def _verify(batches):
                     yield from close()
                     names, sets = [], []
     yield from close()
+    probe, names, sets = None, [], []
+    trim()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
