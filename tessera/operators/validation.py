@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import boosting
 from .panel import pct_rank
 
 
@@ -157,25 +158,17 @@ TREES = 300
 
 
 def gbdt(seed: int = 42, trees: int = TREES):
-    """Boosted regression trees with the engine's defaults; fit on an assembled ``features`` vector."""
+    """Boosted regression trees with the engine's defaults: the settings that ``boosting`` fits by."""
     from pyspark.ml.regression import GBTRegressor
 
     return GBTRegressor(featuresCol="features", labelCol="label", maxDepth=4, maxIter=trees, stepSize=0.03, minInstancesPerNode=100, subsamplingRate=0.8, featureSubsetStrategy="0.7", seed=seed)
 
 
 def walk_forward_predict(rows: DataFrame, folds: DataFrame, names: list[str], label: str, trees: int = TREES) -> DataFrame:
-    """(fold_id, date, ticker, score) of models refitted per fold; the loop is over folds, not data."""
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumn("label", F.col(label)))
-    out = None
-    for fold in sorted(r[0] for r in folds.select("fold_id").distinct().collect()):
-        part = folds.where(F.col("fold_id") == fold)
-        pick = lambda role, part=part: data.join(F.broadcast(part.where(F.col("role") == role).select("date")), "date", "left_semi")
-        model = gbdt(trees=trees).fit(pick("train"))
-        got = model.transform(pick("test")).select(F.lit(fold).alias("fold_id"), "date", "ticker", F.col("prediction").alias("score"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """(fold_id, date, ticker, score) of models refitted per fold, all folds at once."""
+    pick = lambda role: rows.join(F.broadcast(folds.where(F.col("role") == role).select("fold_id", "date")), "date")
+    fitted = boosting.fit(pick("train"), names, label, gbdt(trees=trees))
+    return boosting.scores(pick("test"), fitted, names, gbdt(trees=trees))
 
 
 def gate(summary: DataFrame, min_ic: float = 0.03, min_t: float = 2.0, min_folds: int = 4) -> DataFrame:
