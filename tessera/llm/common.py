@@ -87,12 +87,27 @@ def trim() -> None:
     """Give freed memory back to the system, so that an idle worker holds little."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """What the C library has been given back goes to the system; takes a few ms, so that a running task can afford it."""
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
 
 
+def rest(spark: SparkSession) -> None:
+    """A full collection in the executors' JVMs, which hands heap that is no longer needed back to the system.
+
+    A heap otherwise keeps the size of the most it ever held, and the Python workers of the next step come on top. One
+    task per core, so that an idle cluster gets one everywhere; collections asked for at the same time are one.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).selectExpr("reflect('java.lang.System', 'gc') as done").write.format("noop").mode("overwrite").save()
+
+
 def claim(name: str, clear: Callable[[], None]) -> None:
     """Called when a task starts: the caches of another operator, left in this worker by earlier tasks, are cleared."""
     if _held.get("name") not in (None, name):

@@ -24,15 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialise, modest_batches, texts
+from .common import claim, give_back, materialise, modest_batches, small, texts, trim
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 512
 GROUP = 32
 #: Chunks a worker remembers; beyond it the table starts anew. Longer chunks aren't remembered.
-CACHE = 400_000
+CACHE = 150_000
 LONGEST = 64
+#: Chunks that the tokenizer encodes in one call, and texts worked on at once: its encodings take far more memory than their ids.
+PORTION = 2000
+TEXTS = 200
 FULL_ENOUGH = 0.97
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
@@ -121,6 +124,10 @@ class _ChunkEncoder:
         return 2 if chunk.rstrip(self.MARKS).isalpha() else 0
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [self._portion(chunks[i : i + PORTION]) for i in range(0, max(1, len(chunks)), PORTION)]
+        return np.concatenate([ids for ids, _ in made]), np.concatenate([sizes for _, sizes in made])
+
+    def _portion(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.fromiter(map(self.words, chunks), np.int64, len(chunks))
         easy, hard = np.flatnonzero(counts), np.flatnonzero(counts == 0)
         names = [chunks[i] for i in easy]
@@ -176,6 +183,7 @@ def token_ids(batch: list[str], path: str) -> Iterator[np.ndarray]:
         if len(table.pending) > 50_000:
             table.settle()
     table.settle()
+    give_back()
     for n in numbers:
         yield table.expand(n)
     for long in [c for c in table if len(c) > LONGEST] if table.used > 1 << 24 else []:
@@ -234,8 +242,7 @@ def _first_pass(path: str):
         last = []
         for batch in batches:
             rows = []
-            for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 1000)
+            for some in small([batch], TEXTS):
                 for doc, ids in zip(some.column(0).to_pylist(), token_ids(texts(some.column(1)), path), strict=True):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     for piece, start in enumerate(range(0, len(ids), SEQUENCE)):
@@ -252,6 +259,8 @@ def _first_pass(path: str):
                 [*b.columns[:5], pa.array((np.int64(part) << 32) | number), b.column(6), pa.array(np.isin(number, loose)), pa.array(np.full(len(number), part // GROUP, np.int64))],
                 [*names, "loose", "grp"],
             )
+        last.clear()
+        trim()
 
     return run
 

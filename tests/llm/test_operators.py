@@ -182,6 +182,21 @@ def test_packing(edges, nothing):
     assert packing.pack(nothing, path).count() == 0
 
 
+def test_tokenizer_gets_small_portions():
+    """However many chunks a batch of texts has, the tokenizer encodes few at once, and their ids stay the same."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    encoder, seen = packing._ChunkEncoder(lib), []
+    inner = encoder.batch
+    encoder.batch = lambda lines, **how: seen.append(sum(len(x.split()) for x in lines)) or inner(lines, **how)
+    chunks = [f"{a}{b}{c}{end}" for a in "bdfgklmnprst" for b in ("ar", "en", "ing", "ou", "ti") for c in "abcdefghijklmnopqrstuvwxyz" for end in ("", "s", "ed,", "7", "日")]
+    ids, sizes = encoder(chunks)
+    assert len(chunks) > 3 * packing.PORTION and max(seen) <= packing.PORTION
+    want = [lib.encode(c, add_special_tokens=False).ids for c in chunks]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_best_fit_is_bounded_and_gapless():
     bins, room = packing.BestFit(100, 4), defaultdict(int)
     rng = np.random.default_rng(0)

@@ -107,3 +107,16 @@ def test_stages_on_edges_and_nothing(spark, edges, nothing):
         assert name == "exact_dedup" or any(r["text"] is None for r in rows), name  # null, empty and blank texts are equal there
         assert stage(spark, nothing, SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, edges, SF).count() > 0
+
+
+def test_stages_begin_with_executors_at_rest(spark, nothing):
+    """A full collection runs in the executors before each stage, so that the heap of the stage before goes back to the system."""
+
+    def full():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, nothing, SF)
+        assert full() > before, name
