@@ -34,22 +34,28 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, claim, materialise, may_hold, small, utf8
-from .words import TABLE, mix
+from .common import bit_filter, claim, materialise, may_hold, modest_batches, small
+from .words import mix, portions
 
 WINDOW, GRAM = 35, 16
 SPAN = WINDOW - GRAM + 1  # grams in a window
-SHARD = 2048  # passages
+SHARD = 4096  # passages
 HOT = 2048  # passages of one group that a shard takes whole
+PORTION = 1 << 19  # bytes of text that are worked on at once
 FEW = 100_000  # keys that are broadcast; more are joined by shuffling
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _forget() -> None:
+    _powers[:] = [x[:1].copy() for x in _powers]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
     if len(_powers[0]) < n:
@@ -61,7 +67,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Runs:
-    """Hashes of any run of words of one text in constant time."""
+    """Hashes of any run of words in constant time."""
 
     def __init__(self, h: np.ndarray):
         up, self.down = _power(len(h) + 1)
@@ -70,65 +76,93 @@ class Runs:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def all(self, k: int) -> np.ndarray:
+        """The hashes of all runs of ``k`` words; there must be one."""
+        return mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k] + np.uint64(k))
+
+
+def least(values: np.ndarray, span: int) -> np.ndarray:
+    """Where the smallest of each ``span`` consecutive values stands, the leftmost of equals."""
+    place, width = np.arange(len(values), dtype=np.int32), 1
+    while width < span:
+        step = min(width, span - width)  # windows of ``width`` and those ``step`` further
+        right = values[step:] < values[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        values = np.minimum(values[step:], values[:-step])
+        width += step
+    return place.astype(np.int64)
 
-def passages(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor, hash of the words) of each passage of a text's word hashes."""
-    n = len(h)
-    if n < WINDOW:
+
+def passages(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, anchor, hash of the words) of each passage of some texts.
+
+    ``h`` has the hashes of their words, one text after another, and text k those from ``first[k]`` to ``first[k + 1]``;
+    windows are counted through all of ``h``.
+    """
+    windows = np.maximum(np.diff(first) - WINDOW + 1, 0)
+    n = int(windows.sum())
+    if not n:
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     runs = Runs(h)
-    at = np.arange(n - GRAM + 1)
-    grams = runs.of(at, at + GRAM)
-    place = np.lib.stride_tricks.sliding_window_view(grams, SPAN).argmin(axis=1) + np.arange(n - WINDOW + 1)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    count = np.diff(np.append(first, len(place)))
-    content = runs.of(first, first + count - 1 + WINDOW) ^ mix((place[first] - first).astype(np.uint64))
-    return first, count, grams[place[first]], content
+    grams = runs.all(GRAM)
+    begin = np.cumsum(windows) - windows
+    at = np.repeat(first[:-1] - begin, windows) + np.arange(n)  # the windows that lie in one text
+    place = least(grams, SPAN)[at]
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))  # no place serves two texts
+    count = np.diff(np.append(new, n))
+    lo, place = at[new], place[new]
+    content = runs.of(lo, lo + count - 1 + WINDOW) ^ mix((place - lo).astype(np.uint64))
+    return np.searchsorted(first, lo, "right") - 1, lo, count, grams[place], content
 
 
 def _count_pass(batches):
-    claim("words", TABLE.clear)
+    claim("runs", _forget)
     for batch in small(batches):
-        anchors, contents = [], []
-        for text in utf8(batch.column(0)):
-            _, _, a, c = passages(TABLE.of(text.split()))
-            anchors.append(a)
-            contents.append(c)
-        a, c = (np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64) for x in (anchors, contents))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["anchor", "content"])
+        for _, _, words in portions(batch.column(0), PORTION):
+            _, _, _, anchor, content = passages(words.hashes(), words.first)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64))], ["anchor", "content"])
 
 
 PASSAGE = "doc_id bigint, rid bigint, lo int, windows int, anchor bigint, content bigint, words binary"
 
 
+def _binary(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The bytes of ``values[start : start + size]`` for each; null for those of size 0."""
+    ends = np.cumsum(size)
+    data = values[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+    offset = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    valid = np.packbits(size > 0, bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(size), [pa.py_buffer(valid), pa.py_buffer(offset), pa.py_buffer(data)])
+
+
 def _passage_pass(ref):
     def run(batches):
-        claim("words", TABLE.clear)
+        claim("runs", _forget)
         shared, mixed = ref.value
         sent: set[int] = set()  # passages whose words this task has sent
         for batch in small(batches):
-            ids, rids = batch.column("doc_id").to_pylist(), batch.column("rid").to_pylist()
-            cols: list[list] = [[] for _ in range(7)]
-            for doc, rid, text in zip(ids, rids, utf8(batch.column("text")), strict=True):
-                h = TABLE.of(text.split())
-                lo, n, anchor, content = passages(h)
-                keep = may_hold(shared, anchor) if len(anchor) else np.zeros(0, bool)
-                if not keep.any():
+            ids, rids = batch.column("doc_id"), batch.column("rid")
+            for row, _, words in portions(batch.column("text"), PORTION):
+                h = words.hashes()
+                text, lo, n, anchor, content = passages(h, words.first)
+                keep = np.flatnonzero(may_hold(shared, anchor))
+                if not len(keep):
                     continue
-                lo, n, anchor, content = lo[keep], n[keep], anchor[keep], content[keep]
-                words: list = [None] * len(lo)
-                for i in np.flatnonzero(may_hold(mixed, anchor)):
-                    c = int(content[i])
-                    if c not in sent:
-                        if len(sent) > 200_000:
-                            sent.clear()
-                        sent.add(c)
-                        words[i] = h[lo[i] : lo[i] + n[i] - 1 + WINDOW].tobytes()
-                for col, x in zip(cols, ([doc] * len(lo), [rid] * len(lo), lo.tolist(), n.tolist(), anchor.view(np.int64).tolist(), content.view(np.int64).tolist(), words), strict=True):
-                    col += x
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in PASSAGE.split(", ")])
+                text, lo, n, anchor, content = text[keep], lo[keep], n[keep], anchor[keep], content[keep]
+                fresh = np.flatnonzero(may_hold(mixed, anchor))
+                some, where = np.unique(content[fresh], return_index=True)
+                unsent = np.array([c not in sent for c in some.tolist()], bool)
+                if len(sent) > 200_000:
+                    sent.clear()
+                sent.update(some[unsent].tolist())
+                size = np.zeros(len(lo), np.int64)
+                fresh = fresh[where[unsent]]
+                size[fresh] = n[fresh] - 1 + WINDOW
+                rows = pa.array(text + row)
+                columns = [ids.take(rows), rids.take(rows), *(pa.array(x.astype(np.int32)) for x in (lo - words.first[text], n))]
+                columns += [*(pa.array(x.view(np.int64)) for x in (anchor, content)), _binary(h, lo, size)]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PASSAGE.split(", ")])
 
     return run
 
@@ -150,6 +184,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+_LOWER = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits below each bit of a word
+
+
 class WaveletTree:
     """Levelwise wavelet tree of a symbol sequence: packed bits, with a count per 64-bit word."""
 
@@ -169,11 +206,11 @@ class WaveletTree:
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each ``symbol`` stands before place ``at``, plus where the symbol's block begins; see ``Index.extend``."""
-        at = at.copy()
-        for i, level in enumerate(range(self.depth - 1, -1, -1)):
+        way = (symbol >> np.arange(self.depth - 1, -1, -1)[:, None]) & 1 != 0
+        for bits, before, zeros, one in zip(self.bits, self.before, self.zeros, way, strict=True):
             word = at >> 6
-            ones = self.before[i][word] + np.bitwise_count(self.bits[i][word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))).astype(np.int64)
-            at = np.where((symbol >> level) & 1, self.zeros[i] + ones, at - ones)
+            ones = before.take(word) + np.bitwise_count(bits.take(word) & _LOWER.take(at & 63))
+            at = np.where(one, ones + zeros, at - ones)
         return at
 
 
@@ -225,8 +262,8 @@ class Index:
         return start
 
 
-def repeated_windows(parts: list[np.ndarray]) -> np.ndarray:
-    """For each passage a bit per window (bit i: the window at word i) that occurs in the shard twice."""
+def repeated_windows(parts: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """For each passage a bit per window (bit i: the window at word i) that occurs in the shard twice; ``known`` ones have only such windows."""
     index = Index(parts)
     size = np.array([len(p) for p in parts])
     mask = np.zeros(len(parts), np.int64)
@@ -237,12 +274,14 @@ def repeated_windows(parts: list[np.ndarray]) -> np.ndarray:
         hit = n > 0
         mask[who[hit]] |= ((np.int64(1) << n[hit]) - 1) << start[hit]
 
-    who = np.arange(len(parts))
-    start = index.reach(index.begin, size, zero)
-    mark(who, start, size)
+    known = np.zeros(len(parts), bool) if known is None else known
+    mask[known] = (np.int64(1) << (size[known] - WINDOW + 1)) - 1
+    who = np.flatnonzero(~known)
+    start = index.reach(index.begin[who], size[who], zero[who])
+    mark(who, start, size[who])
     # Windows that begin before ``start`` all hold the words [start - 1, WINDOW); where these are unique none repeats.
-    who = who[(start > 0)]
-    top = np.minimum(start[who] - 1, size[who] - WINDOW)  # the last window still open
+    who, start = who[start > 0], start[start > 0]
+    top = np.minimum(start - 1, size[who] - WINDOW)  # the last window still open
     core = index.reach(index.begin[who], np.full(len(who), WINDOW), zero[who])
     mark(who, core, np.full(len(who), WINDOW))
     open_ = core <= top
@@ -276,16 +315,14 @@ def _range(words: np.ndarray, anchor: int, windows: int, low: int, high: int) ->
 
 
 def _search(pdf: pd.DataFrame) -> pd.DataFrame:
-    parts, first, count = [], [], []
+    parts, first = [], []
     for raw, anchor, windows, low, high in zip(pdf["words"], pdf["anchor"], pdf["windows"], pdf["low"], pdf["high"], strict=True):
         words = np.frombuffer(raw, np.uint64)
         a, b = _range(words, anchor, windows, low, high)
         parts.append(words[a : b - 1 + WINDOW])
         first.append(a)
-        count.append(b - a)
-    mask = repeated_windows(parts)
-    full = (np.int64(1) << np.array(count, np.int64)) - 1
-    return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "mask": np.where(pdf["copies"] > 1, full, mask) << np.array(first, np.int64)})
+    mask = repeated_windows(parts, pdf["copies"].to_numpy() > 1)
+    return pd.DataFrame({"anchor": pdf["anchor"], "content": pdf["content"], "mask": mask << np.array(first, np.int64)})
 
 
 def _split(batches):
@@ -346,28 +383,39 @@ def _masks(distinct: DataFrame) -> DataFrame:
         now = materialise(large.where("low < high").mapInArrow(_split, ROW), "split")
 
 
+_PLAIN = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
+
+
+def _windows(found: pa.Array, first: np.ndarray) -> np.ndarray:
+    """The places of the repeated windows in a list of passages per text, counted like ``first``."""
+    text = np.repeat(first[: len(found)], pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+    flat = found.flatten()
+    lo, mask = (flat.field(k).to_numpy() for k in ("lo", "mask"))
+    which, bit = np.nonzero(mask[:, None] >> np.arange(SPAN) & 1)
+    return text[which] + lo[which] + bit
+
+
 def _removed(batches):
     for batch in small(batches):
-        rows = []
-        for text, found in zip(utf8(batch.column("text")), batch.column("found").to_pylist(), strict=True):
-            words = text.split()
-            if found:
-                edge = np.zeros(len(words) + 1, np.int64)
-                for f in found:
-                    m = f["mask"]
-                    while m:
-                        low = (m & -m).bit_length() - 1
-                        run = (~(m >> low) & -~(m >> low)).bit_length() - 1  # windows in a row
-                        edge[f["lo"] + low] += 1
-                        edge[f["lo"] + low + run - 1 + WINDOW] -= 1
-                        m &= ~(((1 << run) - 1) << low)
-                stay = np.cumsum(edge[:-1]) == 0
-                kept = [words[i] for i in np.flatnonzero(stay)]
-            else:
-                kept = words
-            rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-        n, r, d = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(d, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for low, high, words in portions(batch.column("text"), PORTION):
+            n = len(words.start)
+            begins = np.zeros(n + 1, np.int64)
+            begins[_windows(batch.column("found").slice(low, high - low), words.first) + 1] = 1
+            begins = np.cumsum(begins)  # windows that begin before each word
+            stay = begins[1:] == begins[np.maximum(np.arange(n) - WINDOW + 1, 0)]
+            kept = np.concatenate([[0], np.cumsum(stay)])[words.first]
+            # Each kept word with the byte that follows it in its text, which becomes the space between two.
+            last = words.offset[np.searchsorted(words.offset, words.start, "right")]
+            edge = np.zeros(len(words.data) + 1, np.int8)
+            edge[words.start[stay]] = 1
+            edge[np.minimum(words.end + 1, last)[stay]] -= 1
+            chosen = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+            out = words.data[chosen].tobytes().translate(_PLAIN)
+            ends = np.concatenate([[0], np.cumsum(chosen)])[words.offset].tolist()
+            digest = [hashlib.sha256(out[a:b].rstrip(b" ")).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+            n_words = np.diff(words.first)
+            columns = [batch.column("doc_id").slice(low, high - low), pa.array(n_words), pa.array(n_words - np.diff(kept)), pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def intervals(docs: DataFrame) -> DataFrame:
@@ -391,7 +439,7 @@ def intervals(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = modest_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("rid", F.xxhash64("doc_id", "text"))
     found = intervals(own).groupBy(F.col("rid").alias("r"), F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("lo", "mask")).alias("found"))
     return own.join(found, (own["rid"] == found["r"]) & own["doc_id"].eqNullSafe(found["d"]), "left").select("doc_id", "text", "found").mapInArrow(_removed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

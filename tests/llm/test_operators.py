@@ -2,13 +2,16 @@
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import bpe, exact_dedup, html_crf, licenses, ngram_join, packing, secrets, substring_dedup, topk, toxicity
+from tessera.llm import words as words_module
 
 from .conftest import EDGES, PROSE
 
@@ -361,6 +364,70 @@ def test_substring_dedup_overlaps_and_hot_passages(make, monkeypatch):
     assert by_row(substring_dedup.report(make(texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def substring_texts():
+    """Texts that meet without white space, long and odd words, whole and partial repeats."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abé\0\xa0\u2003"), rng.integers(1, 9))) + "x" * int(rng.choice([0, 0, 0, 7, 8, 56, 64, 200]))
+    common = [word() for _ in range(60)]
+    gap = lambda: str(rng.choice([" ", "\n", "  ", "\t\r\n", "\x0b\x0c "]))
+    texts = [None, "", " ", "a", "b ", " c", "\n\n", "a\0", "é"]
+    for _ in range(80):
+        a, b = sorted(rng.integers(0, 61, 2))
+        words = [word() for _ in range(rng.integers(0, 40))] + common[a:b] + [word() for _ in range(rng.integers(0, 40))]
+        texts.append(gap() * int(rng.integers(0, 2)) + "".join(w + gap() for w in words[:-1]) + "".join(words[-1:]) + gap() * int(rng.integers(0, 2)))
+    return texts
+
+
+@pytest.mark.parametrize("size", [1, 700, 1 << 20])
+def test_substring_words_of_many_texts(size):
+    texts = substring_texts()
+    for kind in (pa.string(), pa.large_string()):
+        column, names, hashes = pa.array([*texts[:1], "never read", *texts], kind).slice(2), [], []
+        for low, high, words in words_module.portions(column, size):
+            h = words.hashes()
+            for k in range(low, high):
+                a, b = words.first[k - low], words.first[k - low + 1]
+                assert [words.data[i:j].tobytes() for i, j in zip(words.start[a:b], words.end[a:b], strict=True)] == (texts[k] or "").encode().split()
+                names += (texts[k] or "").encode().split()
+                hashes += h[a:b].tolist()
+            text, lo, n, anchor, content = substring_dedup.passages(h, words.first)
+            for k in range(high - low):  # a text alone has the passages that it has among others
+                alone = substring_dedup.passages(h[words.first[k] : words.first[k + 1]], np.array([0, words.first[k + 1] - words.first[k]]))
+                for got, want in zip((lo - words.first[k], n, anchor, content), alone[1:], strict=True):
+                    assert got[text == k].tolist() == want.tolist()
+        assert high == len(texts) and len(set(zip(names, hashes, strict=True))) == len(set(names)) == len(set(hashes))
+
+
+@pytest.mark.parametrize("size", [1, 700, 1 << 20])
+def test_substring_removal_of_many_texts(size, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PORTION", size)
+    texts = substring_texts()
+    seen = Counter(tuple(x[k : k + 35]) for t in texts for x in [(t or "").encode().split()] for k in range(len(x) - 34))
+    found = []
+    for t in texts:
+        x = (t or "").encode().split()
+        hit = [k for k in range(len(x) - 34) if seen[tuple(x[k : k + 35])] > 1]
+        found.append([{"lo": k - k % 20, "mask": sum(1 << j % 20 for j in hit if j - j % 20 == k - k % 20)} for k in hit if k == min(j for j in hit if j - j % 20 == k - k % 20)] or None)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(found, pa.list_(pa.struct([("lo", pa.int32()), ("mask", pa.int64())])))], ["doc_id", "text", "found"])
+    got = Counter(tuple(r.values()) for b in substring_dedup._removed([batch.slice(0, 7), batch.slice(7)]) for r in b.to_pylist())
+    assert got == substring_brute(list(enumerate(texts))) and any(found)
+
+
+def test_substring_passes_cost_little_more_than_splitting():
+    rng = np.random.default_rng(7)
+    names = np.array(["".join(rng.choice(list("abcdefghij"), n)) for n in rng.integers(3, 10, 20_000)])
+    texts = [" ".join(rng.choice(names, 300)) for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+
+    def seconds(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    plain = min(seconds(lambda: [t.encode().split() for t in texts]) for _ in range(3))
+    assert min(seconds(lambda: list(substring_dedup._count_pass([batch]))) for _ in range(3)) < 6 * plain
+
+
 def test_wavelet_rank_and_reach():
     rng = np.random.default_rng(5)
     parts = [rng.integers(0, 4, n).astype(np.uint64) for n in rng.integers(35, 55, 12)]
